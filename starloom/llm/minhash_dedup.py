@@ -263,8 +263,9 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, similarity,
     hub = (F.col("_blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(11)), F.greatest(F.lit(1), F.ceil(F.col("_docs") / HUBS))) == 0)
     inside = dealt.withColumn("_block", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))))
     texts = docs.select(F.col("doc").alias("rep"), "text")
-    # Texts are spread again by (component, block), so whole groups come to one task.
-    rows = inside.select("rep", "print", F.xxhash64("component", "_block").alias("task")).join(texts, "rep")
+    # Texts meet their vertices by a merge join at every size, then are spread again by (component, block), so that
+    # whole groups come to one task.
+    rows = texts.join(inside.select("rep", "print", F.xxhash64("component", "_block").alias("task")).hint("merge"), "rep")
 
     def search(group: pa.Table):
         sets, ok = _sets_of(group, words)
@@ -305,7 +306,7 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, similarity,
                 b.append(y)
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    more = by_group(as_block.union(asks).join(texts, "rep"), "task", ask, "a bigint, b bigint", "rep")
+    more = by_group(texts.join(as_block.union(asks).hint("merge"), "rep"), "task", ask, "a bigint, b bigint", "rep")
     return links.union(written(more, "links-asked"))
 
 
