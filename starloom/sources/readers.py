@@ -42,7 +42,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
     """A database table; with a numeric key, in parallel ranges of it. A table that is missing gives an empty frame if a schema is known."""
     try:
         if key:
-            low, high = spark.read.jdbc(url, f"(SELECT min({key}) AS lo, max({key}) AS hi FROM {table}) t", properties=properties).first()
+            low, high = spark.read.jdbc(url, f"(SELECT min(\"{key}\") AS lo, max(\"{key}\") AS hi FROM {table}) t", properties=properties).first()
             if low is not None:
                 return spark.read.jdbc(url, table, column=key, lowerBound=int(low), upperBound=int(high) + 1, numPartitions=partitions, properties=properties)
         return spark.read.jdbc(url, table, properties=properties)
@@ -55,7 +55,7 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict[str, s
 def max_key(spark: SparkSession, url: str, table: str, key: str, properties: dict[str, str]) -> int:
     """The largest key of a table, asked of the database; 0 if the table is empty or out of reach."""
     try:
-        found = spark.read.jdbc(url, f"(SELECT max({key}) AS m FROM {table}) t", properties=properties).first()[0]
+        found = spark.read.jdbc(url, f"(SELECT max(\"{key}\") AS m FROM {table}) t", properties=properties).first()[0]
     except Exception as e:
         if "java.sql" not in str(e):
             raise
