@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space; everything else is part of a word.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="starloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+from starloom.storage import drop_written, new_path, shared_dir, written
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "by_group", "drop_written", "groups", "new_path", "shared_dir", "small_batches", "table", "text_or_empty", "written"]
 
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage of df: writes it as Parquet to the shared folder and reads it back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._starloom_path = path
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Deletes a table made by written() once no later plan reads it."""
-    if path := getattr(df, "_starloom_path", None):
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(hadoop).delete(where, True)
+#: ASCII white space; everything else is part of a word.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:

@@ -45,8 +45,9 @@ def block_bounds(dims: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
 
 
-def _unit(raw: pa.Array, dims: int) -> np.ndarray:
-    v = np.frombuffer(b"".join(raw.to_pylist()), "<f8").reshape(-1, dims)
+def _unit(raw: pa.Array, dims: int, kind: str) -> np.ndarray:
+    """Unit vectors in double precision, whatever the stored kind (floats that came as floats travel as floats)."""
+    v = np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(-1, dims).astype(np.float64)
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
@@ -55,16 +56,18 @@ def _budgets(dims: int, cosine: float, blocks: int) -> list[tuple[int, int, floa
     return [(a, b, (2 - 2 * cosine) * (b - a) / dims * (1 + 1e-9) + 1e-12) for a, b in block_bounds(dims, blocks)]
 
 
-def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, wide: float = WIDE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """vectors: (cls long, label, raw binary of doubles, n copies). Returns (cls, links) and (a, b) of a spanning forest."""
+def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, wide: float = WIDE, most: int = MOST, kind: str = "<f8") -> tuple[DataFrame, DataFrame]:
+    """vectors: (cls long, label, raw binary of numbers of `kind`, n copies). Returns (cls, links) and (a, b) of a spanning forest."""
+
+    width_of = np.dtype(kind).itemsize
 
     def place(batches):
         """One row for each block and cell that a vector is in; dx, dy: how far below its own cell that is."""
         for batch in batches:
-            lengths = np.array([len(x) // 8 for x in batch.column("raw").to_pylist()])
+            lengths = np.array([len(x) // width_of for x in batch.column("raw").to_pylist()])
             for dims in np.unique(lengths).tolist():
                 part = batch.take(pa.array(np.flatnonzero(lengths == dims)))
-                r = _unit(part.column("raw"), dims) @ rotation(dims)
+                r = _unit(part.column("raw"), dims, kind) @ rotation(dims)
                 label = np.array(part.column("label_hash").to_numpy(), np.int64)
                 for k, (a, b, budget) in enumerate(_budgets(dims, cosine, blocks)):
                     width = wide * np.sqrt(budget)
@@ -92,8 +95,8 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS,
         n = group.num_rows
         if n < 2:
             return None
-        dims = len(group["raw"][0].as_py()) // 8
-        u = _unit(group["raw"].combine_chunks(), dims)
+        dims = len(group["raw"][0].as_py()) // width_of
+        u = _unit(group["raw"].combine_chunks(), dims, kind)
         r = u @ rotation(dims)
         cls, copies, side = (group[c].to_numpy() for c in ("cls", "n", "side"))
         below = np.stack([group["dx"].to_numpy(), group["dy"].to_numpy()], axis=1)
@@ -160,15 +163,18 @@ def dedup_embeddings(table_: DataFrame, id_col="vec_id", vector_col="embedding",
     classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
     classes = written(classes.withColumn("cls", F.coalesce("cls", F.col("h1"))), "vector-classes")
 
+    # Values that come as floats are floats again without loss, in half the bytes.
+    kind = "<f4" if table_.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+
     def packed(batches):
         for b in batches:
             v = b.column("v")
-            raw = [np.asarray(x, "<f8").tobytes() for x in v.to_pylist()]
+            raw = [np.asarray(x, kind).tobytes() for x in v.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "label", "n")), pa.array(raw, pa.binary())], names=["cls", "label", "n", "raw"])
 
     label_type = classes.schema["label"].dataType.simpleString()
     vectors = classes.select("cls", "label", "n", "v").mapInArrow(packed, f"cls bigint, label {label_type}, n bigint, raw binary")
-    links, forest = near_links(vectors, cosine, blocks, WIDE, most)
+    links, forest = near_links(vectors, cosine, blocks, WIDE, most, kind)
     found = components(forest).withColumnRenamed("id", "cls")
     per_class = classes.select("h1", "h2", "cls", "n").join(links, "cls", "left").join(found, "cls", "left")
     per_class = per_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))

@@ -8,9 +8,10 @@ The models are stored in sorted hash arrays, one for each order, that hold the i
 under every language; a look-up is a binary search, from the longest order down.
 
 A text's cross-entropy under a language is the mean of minus the log-probabilities of its characters. The
-language with the lowest wins. Rejection is calibrated on the training sample: a text is rejected if its
-cross-entropy exceeds what its language's own rows have by more than `tolerance` standard deviations of rows of
-that length, which leaves text of the language alone and drops text unlike anything learned.
+language with the lowest wins. Rejection is calibrated on rows of the sample that are held back: a text is rejected
+if its cross-entropy exceeds the mean of its language's own rows by more than `tolerance` standard deviations of
+rows of that length, and by more than UNLIKE of the way to the entropy of random letters. That leaves text of the
+language alone, with foreign passages in it too, and drops text unlike anything learned.
 
 Defined cases: text that is null or has no letters gives `und`, score 0, rejected. Rows with null language are
 not learned from. Ties go to the first language by name. Without any labelled row all rows are `und`. Whole
@@ -31,6 +32,7 @@ from starloom.llm.common import small_batches, table
 ORDER = 5
 ROWS_PER_LANGUAGE = 1500
 TOLERANCE = 12.0
+UNLIKE = 0.5
 CHARS = 1_500_000  # characters scored at once
 SPREAD = np.uint64(0x9E3779B97F4A7C15)  # odd, so multiplying is one-to-one: distinct n-grams have distinct hashes
 
@@ -217,6 +219,7 @@ class Scorer:
             # posterior of equal priors, letters taken as independent up to 50 of them
             p = 1 / np.exp(-np.minimum(letters, 50)[:, None] * (h - low[:, None])).sum(axis=1)
             limit = m.mean[best] + tolerance * np.sqrt(m.spread[0][best] + m.spread[1][best] / np.maximum(letters, 1))
+            limit = np.maximum(limit, m.mean[best] + UNLIKE * (np.log(len(m.alphabet.letters) + 2) - m.mean[best]))
             none = letters == 0
             lang += ["und" if x else m.languages[k] for x, k in zip(none, best)]
             score.append(np.where(none, 0.0, p))
@@ -240,7 +243,7 @@ def _calibrate(model: Model, h: np.ndarray, letters: np.ndarray) -> None:
             slope = max(0.0, float(np.polyfit(inv, d2, 1)[0])) if np.ptp(inv) > 0 else 0.0
             b[k], a[k] = slope, max(float((d2 - slope * inv).mean()), 1e-4)
         else:
-            a[k] = 1.0
+            a[k] = 0.04  # too few rows to tell
     model.spread = np.stack([a, b])
 
 

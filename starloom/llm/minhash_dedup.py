@@ -288,7 +288,8 @@ def confirmed_links(docs: DataFrame, members: DataFrame, words: int, similarity,
     split = split.join(main, "component").withColumn("_left", F.col("_group") != F.col("_main"))
     chunks = split.filter("_left").groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("_chunks"))
     split = split.join(chunks, "component").withColumn("_chunk", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("_chunks")).cast("int"))
-    as_block = split.select("rep", "print", "_group", F.lit(False).alias("asks"), F.xxhash64("component", "_own", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))).alias("task"))
+    as_block = split.withColumn("_asker", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    as_block = as_block.select("rep", "print", "_group", F.lit(False).alias("asks"), F.xxhash64("component", "_own", "_asker").alias("task"))
     asks = split.filter("_left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     asks = asks.select("rep", "print", "_group", F.lit(True).alias("asks"), F.xxhash64("component", "_block", "_chunk").alias("task"))
 
