@@ -19,8 +19,9 @@ from starloom.operators.screens import Rule
 from starloom.operators.standardize import Transform, geography, standardize
 from starloom.operators.surrogate import assign_keys
 from starloom.plans.star import SQL_CUSTOMERS, SQL_FACT, customer_history, dimensions, order_details, orders, table
-from starloom.sources.sinks import produce_files
-from starloom.storage import new_path, written
+from starloom.sources.readers import read_csv, read_json
+from starloom.sources.sinks import DimensionStore, load_crc_index, produce_files, save_crc_index
+from starloom.storage import new_path
 from starloom.streaming.events import decode, encode_orders, flatten
 from starloom.streaming.ingest import ingest, read_lines, sessions, tumbling_counts
 
@@ -575,6 +576,48 @@ def recent_runs_topk(spark, sf):
     return serve.recent_runs(table(spark, sf, "events").select("event_id", F.col("ts").alias("started_at")), 5)
 
 
+# ---- files
+
+TYPED = "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING"
+
+
+@query("SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer WHERE c_custkey % 13 <> 0")
+def source_csv(spark, sf):
+    """Customers through CSV, with NULL texts, and every thirteenth line one field too long (so skipped)."""
+    path, k = new_path(spark, "csv"), F.col("c_custkey")
+    shown = [F.when(k % 7 == 0, "NULL").otherwise(F.col(c)).alias(c) if c == "c_mktsegment" else F.col(c).cast("string").alias(c) for c in table(spark, sf, "customer").columns]
+    c = table(spark, sf, "customer").select(k.alias("_k"), *shown)
+    line = F.concat(F.concat_ws(",", *(n for n in c.columns if n != "_k")), F.when(F.col("_k") % 13 == 0, ",more").otherwise(""))
+    c.select(line.alias("value")).write.text(path)
+    return read_csv(spark, path, TYPED, header=False)
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def source_json(spark, sf):
+    """The nations as one JSON array, as a REST source would send them."""
+    path = new_path(spark, "json")
+    table(spark, sf, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(path)
+    return read_json(spark, path, "n_nationkey INT, n_name STRING")
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT -1, 'Unknown'")
+def publish_dimension(spark, sf):
+    store = DimensionStore(spark, new_path(spark, "published"))
+    c = table(spark, sf, "customer").select("c_custkey", "c_name")
+    store.publish("customer", c, "b1")
+    store.publish("customer", c.unionByName(spark.sql("SELECT -1L AS c_custkey, 'Unknown' AS c_name")), "b2")
+    return store.latest("customer")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey % 10 = 1")
+def crc_index(spark, sf):
+    """Yesterday's table through the saved index, against today's."""
+    folder, c = new_path(spark, "crc"), table(spark, sf, "customer")
+    save_crc_index(cdc.with_crc(c), folder, "customer")
+    today = c.withColumn("c_acctbal", F.when(F.col("c_custkey") % 10 == 1, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    return cdc.diff(load_crc_index(spark, folder, "customer"), today, ["c_custkey"]).select("c_custkey")
+
+
 # ---- streams
 
 
@@ -585,8 +628,7 @@ def _stream(spark, sf) -> tuple[str, str]:
     folder = new_path(spark, "stream-in")
     produce_files(lines, folder)
     good, dead, state = (new_path(spark, f"stream-{x}") for x in ("good", "dead", "state"))
-    ingest(read_lines(spark, folder), good, state, ["OrderID", "CustomerID", "ShipCountry"], dead)
-    for q in spark.streams.active:
+    for q in ingest(read_lines(spark, folder), good, state, ["OrderID", "CustomerID", "ShipCountry"], dead):
         q.awaitTermination()
     return good, dead
 

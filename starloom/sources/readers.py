@@ -15,13 +15,13 @@ def header_schema(spark: SparkSession, path: str) -> StructType:
     return StructType([StructField(f.name, StringType()) for f in spark.read.csv(path, header=True, inferSchema=False).schema.fields])
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, skip_malformed: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, skip_malformed: bool = True, header: bool = True) -> DataFrame:
     """CSV with a header, malformed rows skipped, the text NULL as null. Without a schema all columns are strings.
 
     The schema is always explicit and whole: with column pruning other rows could count as malformed.
     """
     mode = "DROPMALFORMED" if skip_malformed else "PERMISSIVE"
-    return spark.read.csv(path, schema=schema or header_schema(spark, path), header=True, mode=mode, nullValue="NULL", enforceSchema=False, multiLine=False)
+    return spark.read.csv(path, schema=schema or header_schema(spark, path), header=header, mode=mode, nullValue="NULL", enforceSchema=not header)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

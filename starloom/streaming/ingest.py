@@ -17,11 +17,11 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int | None = 1
     return reader.load(folder)
 
 
-def ingest(lines: DataFrame, output: str, checkpoint: str, columns: list[str] | None = None, dead_letters: str | None = None, once: bool = True, seconds: int = 30) -> StreamingQuery:
-    """Starts the stream. once: takes what is there and ends; else a batch every `seconds`.
+def ingest(lines: DataFrame, output: str, checkpoint: str, columns: list[str] | None = None, dead_letters: str | None = None, once: bool = True, seconds: int = 30) -> list[StreamingQuery]:
+    """Starts the stream, and with dead_letters a second one for bad events. once: takes what is there and ends; else a batch every `seconds`.
 
-    Batches are written by the file sink's log, so a restart neither loses nor repeats events. Bad events go to
-    dead_letters (value, problem) in the same batch.
+    Each writes through the file sink's log with its own checkpoint, so a restart neither loses nor repeats events.
+    Dead letters are (value, problem).
     """
     columns = columns or list(PAYLOAD_NAMES.values())
     events = decode(lines)
@@ -30,9 +30,10 @@ def ingest(lines: DataFrame, output: str, checkpoint: str, columns: list[str] |
         writer = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{checkpoint}/{name}").outputMode("append")
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
+    out = [start(flatten(events, columns), output, "good")]
     if dead_letters:
-        start(events.filter("problem is not null").select("value", "problem"), dead_letters, "dead")
-    return start(flatten(events, columns), output, "good")
+        out.append(start(events.filter("problem is not null").select("value", "problem"), dead_letters, "dead"))
+    return out
 
 
 def tumbling_counts(events: DataFrame, time: str = "event_timestamp", key: str = "event_type", width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:

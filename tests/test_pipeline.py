@@ -103,8 +103,7 @@ def test_stream_is_exactly_once_over_a_restart(spark, tmp_path):
     spark.createDataFrame([("{broken",)], "value string").write.mode("append").text(src)
 
     def go():
-        ingest(read_lines(spark, src), out, state, ["OrderID", "Freight"], dead)
-        for q in spark.streams.active:
+        for q in ingest(read_lines(spark, src), out, state, ["OrderID", "Freight"], dead):
             q.awaitTermination()
 
     go()
@@ -115,3 +114,12 @@ def test_stream_is_exactly_once_over_a_restart(spark, tmp_path):
     go()
     got = spark.read.parquet(out)
     assert got.count() == 3 and once_each(got.unionByName(got)).count() == 3
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from starloom.__main__ import main
+
+    assert main(["run", "--root", str(tmp_path), "--phase", "deliver", "--batch-id", "b1"]) == 0
+    assert main(["run", "--root", str(tmp_path), "--phase", "clean", "--batch-id", "b2"]) == 1
+    assert main(["status", "--root", str(tmp_path)]) == 0
+    assert "b1 SUCCESS" in capsys.readouterr().out
