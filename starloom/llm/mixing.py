@@ -79,20 +79,22 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     """Per document: id, size, source_size, target, taken (words), copies (passes begun), position; with `carry`, a struct _carry of the columns it names."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
     order = F.md5(F.col(id_col).cast("string"))
+    # A key that is never null, so that the join below can use the window's exchange.
+    named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     rows = docs.select(
-        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), F.coalesce(order, F.lit("")).alias("_order"),
+        F.col(id_col).alias("_id"), named.alias("_key"), size.alias("size"), F.coalesce(order, F.lit("")).alias("_order"),
         F.struct(*(F.col(c) for c in carry)).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry"),
     )
     bucket = F.coalesce(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int") * BUCKETS / 4096, F.lit(0)).cast("int")
     rows = rows.withColumn("_bucket", bucket)
-    sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("size"))
-    targets = source_targets(sums, [integral(s) for s in schedules], share, epochs)
-    prefix = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("size").over(prefix), F.lit(0)).alias("_base"))
-    base = base.join(targets.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(base, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
+    sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("size"))
+    source = F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30))
+    targets = source_targets(sums.select(source.alias("source"), "size"), [integral(s) for s in schedules], share, epochs)
+    targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("_key"), "source_size", "rank", "target")
+    prefix = Window.partitionBy("_key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("_key", "_bucket", F.coalesce(F.sum("size").over(prefix), F.lit(0)).alias("_base")).join(targets, "_key")
+    inside = Window.partitionBy("_key", "_bucket").orderBy("_order", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(base, ["_key", "_bucket"], "left")
     start = F.col("_base") + F.col("_inside")
     goal = F.round("target").cast("long")
     passes = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - start - F.col("source_size") * e)) for e in range(epochs)]
