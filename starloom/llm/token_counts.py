@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm.common import small_batches, table
 
-MOST = 300_000
+MOST = 1_000_000
 SPACE = "▁"
 UNKNOWN = 10.0
 VOCABULARY = "piece_bpe_32k.model"
@@ -56,7 +56,7 @@ class Counter:
         best, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
         for e in range(1, n + 1):
             top, pieces, is_unk, single = None, 0, False, False
-            for length, score in sorted(ends[e], reverse=True):  # longest first: the earliest start wins ties
+            for length, score in ends[e]:  # the automaton gives the longest first, so the earliest start wins ties
                 single |= length == 1
                 total = best[e - length] + score
                 if top is None or total > top:

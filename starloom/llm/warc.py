@@ -110,6 +110,9 @@ class Store:
         return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
 
     def rename(self, old: str, new: str):
+        """A file of that name is from an earlier attempt of the same task and has the same bytes."""
+        if self.fs.get_file_info(f"{self.root}/{new}").type.name != "NotFound":
+            self.delete(new)
         self.fs.move(f"{self.root}/{old}", f"{self.root}/{new}")
 
     def delete(self, name: str):
