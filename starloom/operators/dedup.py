@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from starloom.functions import text
 from starloom.operators.components import components
+from starloom.operators.surrogate import assign_keys
 from starloom.storage import written
 
 # Fields that are compared and their weights.
@@ -64,11 +65,10 @@ def find_clusters(df: DataFrame, entity: str, threshold: float = THRESHOLD, key:
     key = find_column(df, key or NATURAL_KEYS.get(entity, df.columns[0])) or df.columns[0]
     wanted = MATCH_FIELDS.get(entity, {}) if fields is None else fields
     fields = {found: w for c, w in wanted.items() if (found := find_column(df, c))}
-    rows = df.select(F.col(key).alias("_nk"), *[F.col(c) for c in dict.fromkeys([*fields, *(block_on or [])]) if c != key], *([F.col(key)] if key in [*fields, *(block_on or [])] else []), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [key])))
-    ordering = [F.col(f"_o{i}") for i in range(len(order or [key]))] + [F.col("_nk")]
-    rows = rows.withColumn("_ord", F.row_number().over(Window.orderBy(*ordering)).cast("long"))
+    needed = list(dict.fromkeys([*fields, *(block_on or [])]))
+    rows = df.select(F.col(key).alias("_nk"), *(F.col(c) for c in needed), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order or [key])))
+    rows = assign_keys(rows, "_ord", [*(f"_o{i}" for i in range(len(order or [key]))), "_nk"])
     if fields:
-        rows = written(rows, "dedup-rows")
         same = _bare(F.col(next(iter(fields))))
         exact = rows.withColumn("_same", same).withColumn("_n", F.count("*").over(Window.partitionBy("_same")))
         lead = F.min("_ord").over(Window.partitionBy("_same"))
@@ -79,5 +79,5 @@ def find_clusters(df: DataFrame, entity: str, threshold: float = THRESHOLD, key:
         rows = rows.join(found, rows["_ord"] == found["id"], "left").withColumn("_first", F.coalesce("component", "_ord"))
     else:
         rows = rows.withColumn("_first", F.col("_ord"))
-    number = F.dense_rank().over(Window.orderBy("_first"))
-    return rows.select(F.format_string("cluster_%06d", number).alias("cluster_id"), F.col("_nk").alias("nk"))
+    numbered = assign_keys(rows.select("_first").distinct(), "_number", ["_first"])
+    return rows.join(numbered, "_first").select(F.format_string("cluster_%06d", "_number").alias("cluster_id"), F.col("_nk").alias("nk"))
