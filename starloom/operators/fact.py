@@ -10,13 +10,13 @@ from starloom.functions.text import standardize_country
 from starloom.operators.dims import pick
 from starloom.operators.lookup import Lookup, resolve_batch
 
-LOOKUPS = [
+ORDER_LOOKUPS = [
     Lookup("dim_customer", "customer_nk", "customer_nk", "customer_sk", "customer_sk", "order_date"),
     Lookup("dim_employee", "employee_nk", "employee_nk", "employee_sk", "employee_sk", "order_date"),
-    Lookup("dim_product", "product_nk", "product_nk", "product_sk", "product_sk", "order_date"),
     Lookup("dim_shipper", "shipper_nk", "shipper_nk", "shipper_sk", "shipper_sk"),
     Lookup("dim_geography", "ship_country", "country_code", "geography_sk", "ship_geography_sk"),
 ]
+LINE_LOOKUPS = [Lookup("dim_product", "product_nk", "product_nk", "product_sk", "product_sk", "order_date")]
 
 
 def measures(quantity: Column, price: Column, discount: Column) -> dict[str, Column]:
@@ -41,7 +41,10 @@ def allocate(amount: Column, part: Column, group: str) -> Column:
 
 def build_fact_sales(orders: DataFrame, details: DataFrame, dims: dict[str, DataFrame], audit_sk: int = -1) -> DataFrame:
     """Orders join lines; keys by lookup (-1 where nothing fits, or the dimension is absent); lines without a positive
-    quantity go, after freight has been shared."""
+    quantity go, after freight has been shared.
+
+    What an order decides (customer, employee, shipper, place, days) is looked up on orders, before lines multiply them.
+    """
     o = orders.select(
         pick(orders, "orderID", "int").alias("order_id"), pick(orders, "customerID").alias("customer_nk"), pick(orders, "employeeID").alias("employee_nk"), pick(orders, "shipVia").alias("shipper_nk"),
         pick(orders, "orderDate").try_cast("date").alias("order_date"), pick(orders, "requiredDate").alias("_required"), pick(orders, "shippedDate").alias("_shipped"),
@@ -51,13 +54,16 @@ def build_fact_sales(orders: DataFrame, details: DataFrame, dims: dict[str, Data
         pick(details, "orderID", "int").alias("_order"), pick(details, "productID").alias("product_nk"), pick(details, "unitPrice", "double").alias("_price"),
         F.coalesce(pick(details, "quantity", "int"), F.lit(0)).alias("quantity"), pick(details, "discount", "double").alias("_discount"),
     )
+    o = o.withColumns({"order_date_sk": date_to_sk("order_date"), "required_date_sk": date_to_sk("_required"), "shipped_date_sk": date_to_sk("_shipped")})
+    o = resolve_batch(o, dims, ORDER_LOOKUPS).select(
+        "order_id", "order_date", "_freight", "order_date_sk", "required_date_sk", "shipped_date_sk", "customer_sk", "employee_sk", "shipper_sk", "ship_geography_sk"
+    )
     lines = d.join(o, d["_order"] == o["order_id"]).drop("_order")
     lines = lines.withColumn("line_number", line_number("order_id", "product_nk", "quantity", "_price", "_discount").cast("smallint"))
     lines = lines.withColumns(measures(F.col("quantity"), F.coalesce("_price", F.lit(0.0)), F.col("_discount")))
     lines = lines.withColumn("freight_allocated", allocate(F.col("_freight"), F.col("extended_price"), "order_id"))
-    lines = lines.filter("quantity > 0")
-    lines = lines.withColumns({"order_date_sk": date_to_sk("order_date"), "required_date_sk": date_to_sk("_required"), "shipped_date_sk": date_to_sk("_shipped"), "audit_sk": F.lit(audit_sk).cast("long")})
-    lines = resolve_batch(lines, dims, LOOKUPS)
+    lines = lines.filter("quantity > 0").withColumn("audit_sk", F.lit(audit_sk).cast("long"))
+    lines = resolve_batch(lines, dims, LINE_LOOKUPS)
     return lines.select(
         "order_id", "line_number", "order_date_sk", "required_date_sk", "shipped_date_sk", "customer_sk", "employee_sk", "product_sk", "shipper_sk", "ship_geography_sk", "audit_sk",
         "quantity", "unit_price", "discount", "extended_price", "discount_amount", "net_amount", "freight_allocated",
