@@ -213,6 +213,16 @@ def test_fact(spark):
     assert fact.build_fact_sales(o.limit(0), d, {}).count() == 0
 
 
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(1, 9), st.integers(1, 999)), min_size=1, max_size=8), st.integers(0, 5000))
+def test_freight_is_conserved(spark, lines, cents):
+    o = spark.createDataFrame([(k, cents / 100) for k in (1, 2, 3)], "orderID long, freight double")
+    d = spark.createDataFrame([(k, q, p / 100) for k, q, p in lines], "orderID long, quantity long, unitPrice double")
+    got = fact.build_fact_sales(o, d, {}).groupBy("order_id").agg(F.sum("freight_allocated").alias("f"), F.count("*").alias("n")).collect()
+    assert {r.order_id for r in got} == {k for k, _, _ in lines}
+    assert all(abs(float(r.f) - cents / 100) <= 0.005 * r.n + 1e-9 for r in got)
+
+
 def test_monthly_aggregate(spark):
     f = spark.createDataFrame([(1, 20240105, 1, 1, 2, 10.0), (2, 20240210, 1, 1, 1, 5.0), (3, 20240310, 1, 2, 1, 5.0)], "order_id long, order_date_sk int, product_sk long, customer_sk long, quantity int, net_amount double")
     c = spark.createDataFrame([(1, "DE", True), (2, "FR", False)], "customer_sk long, country_code string, is_current boolean")
