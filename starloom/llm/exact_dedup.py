@@ -49,10 +49,10 @@ def mark_exact_duplicates(
     ).withColumn("_digest", F.sha2(F.encode("_content", "UTF-8"), 256))
 
     digests = docs.select(F.sha2(F.encode(content, "UTF-8"), 256).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_n"))
-    total = docs.select(F.count("*").alias("_total"))
+    total = docs.select(F.count("*")).scalar()
     # n * hot_parts >= total holds for at most hot_parts digests; n > 64 only spares tiny tables the salting.
     hot = (
-        digests.filter("_n > 64").crossJoin(F.broadcast(total)).filter(F.col("_n") * hot_parts >= F.col("_total"))
+        digests.filter("_n > 64").withColumn("_total", total).filter(F.col("_n") * hot_parts >= F.col("_total"))
         .select("_digest", F.ceil(F.col("_n") * hot_parts / F.col("_total")).cast("int").alias("_salts"))
     )
     rows = rows.join(F.broadcast(hot), "_digest", "left").withColumn(
