@@ -23,6 +23,7 @@ from starloom.llm.common import small_batches, table
 MOST = 1_000_000
 SPACE = "▁"
 UNKNOWN = 10.0
+_NONE = float("-inf")
 VOCABULARY = "piece_bpe_32k.model"
 
 
@@ -49,23 +50,30 @@ class Counter:
 
     def word(self, w: str) -> int:
         """Pieces of the best segmentation of one word."""
-        n = len(w)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        n, unknown = len(w), self.unknown
+        best, count = [_NONE] * (n + 1), [0] * (n + 1)
+        single, unk = bytearray(n + 1), bytearray(n + 1)  # a piece of one character ends here; the best ends unknown
+        best[0], done = 0.0, 0
+
+        def close(upto: int) -> None:
+            """All pieces that end up to here are known: where none covers the last character, it may be unknown."""
+            nonlocal done
+            while done < upto:
+                done += 1
+                if not single[done] and (total := best[done - 1] + unknown) > best[done]:
+                    best[done], count[done], unk[done] = total, count[done - 1] + (not unk[done - 1]), 1
+
+        # ends rise, and of those at one end the longest comes first: the earliest start wins ties
         for end, (length, score) in self.automaton.iter(w):
-            ends[end + 1].append((length, score))
-        best, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for e in range(1, n + 1):
-            top, pieces, is_unk, single = None, 0, False, False
-            for length, score in ends[e]:  # the automaton gives the longest first, so the earliest start wins ties
-                single |= length == 1
-                total = best[e - length] + score
-                if top is None or total > top:
-                    top, pieces, is_unk = total, count[e - length] + 1, False
-            if not single:
-                total = best[e - 1] + self.unknown
-                if top is None or total > top:
-                    top, pieces, is_unk = total, count[e - 1] + (not unk[e - 1]), True
-            best[e], count[e], unk[e] = top, pieces, is_unk
+            if done < end:
+                close(end)
+            end += 1
+            total = best[end - length] + score
+            if total > best[end]:
+                best[end], count[end] = total, count[end - length] + 1
+            if length == 1:
+                single[end] = 1
+        close(n)
         return count[n]
 
     def text(self, t: str | None) -> int:
