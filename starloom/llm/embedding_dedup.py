@@ -32,7 +32,8 @@ COSINE = 0.93
 BLOCKS = 8
 WIDE = 2.0
 MOST = 3000
-TILE = 256
+TILE = 512
+FEW = 20_000  # pairs of a tile that are looked at one by one
 
 
 def rotation(dims: int, seed: int = 20240) -> np.ndarray:
@@ -106,6 +107,11 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS,
         two = group["two"][0].as_py()
         first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(n), np.arange(n))
         links, forest = np.zeros(n, np.int64), Forest(n)
+
+        def square_of(a, b, c, d):
+            apart = r[a, c:d] - r[b, c:d]
+            return np.einsum("ij,ij->i", apart, apart)
+
         for i in range(0, len(first), TILE):
             x = first[i : i + TILE]
             for j in range(0 if two else i, len(second), TILE):
@@ -118,11 +124,26 @@ def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS,
                 hit = within(block)
                 if not two and i == j:
                     hit &= np.triu(np.ones(hit.shape, bool), 1)
-                if not hit.any():
+                found = np.count_nonzero(hit)
+                if not found:
+                    continue
+                if found <= FEW:  # most tiles: look at the pairs
+                    p, q = np.nonzero(hit)
+                    a, b = x[p], y[q]
+                    ok = np.minimum(below[a], below[b]).max(axis=1) == 0  # met in the smaller of the two cells
+                    for c, d, budget in spec[:block]:  # and in no earlier block
+                        ok &= square_of(a, b, c, d) > budget
+                    a, b = a[ok], b[ok]
+                    ok = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
+                    a, b = a[ok], b[ok]
+                    np.add.at(links, a, copies[b])
+                    np.add.at(links, b, copies[a])
+                    for m, o in zip(a.tolist(), b.tolist()):
+                        forest.join(m, o)
                     continue
-                for c in range(2):  # met in the smaller of the two cells
+                for c in range(2):
                     hit &= np.minimum(below[x, c][:, None], below[y, c]) == 0
-                for k in range(block):  # and in no earlier block
+                for k in range(block):
                     hit &= ~within(k)
                 if not hit.any():
                     continue
