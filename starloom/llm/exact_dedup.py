@@ -34,8 +34,10 @@ def mark_exact_duplicates(
     normalise=None,
     hot_parts: int = HOT_PARTS,
     carry: tuple[str, ...] = (),
+    with_text: bool = False,
 ) -> DataFrame:
-    """Per input row: id, keep_id, group_size, kept, text_sha256; with `carry`, a struct _carry of the columns it names.
+    """Per input row: id, keep_id, group_size, kept, text_sha256; with `carry`, a struct _carry of the columns it names;
+    with_text, _text (normalised; null where it was).
 
     keep: "smallest" or "largest" id of a group stays. normalise: Column -> Column on the text, identity if None.
     """
@@ -45,7 +47,8 @@ def mark_exact_duplicates(
     content = normalise(content) if normalise else content
     # One struct for what is carried: no name of the input can clash with ours.
     rows = docs.select(
-        F.col(id_col).alias("_id"), content.alias("_content"), F.struct(*(F.col(c) for c in carry)).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry")
+        F.col(id_col).alias("_id"), content.alias("_content"), F.struct(*(F.col(c) for c in carry)).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry"),
+        F.col(text_col).isNull().alias("_none"),
     ).withColumn("_digest", F.sha2(F.encode("_content", "UTF-8"), 256))
 
     digests = docs.select(F.sha2(F.encode(content, "UTF-8"), 256).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_n"))
@@ -63,8 +66,9 @@ def mark_exact_duplicates(
     first = run.orderBy(F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last())
     best = F.min if keep == "smallest" else F.max
     runs = ranges.select(
-        "_id", "_digest", "_salts", "_carry", F.row_number().over(first).alias("_place"), best("_id").over(run).alias("_best"), F.count("*").over(run).alias("_size"), F.col("_salt").alias("_part")
-    )
+        "_id", "_digest", "_salts", "_carry", F.row_number().over(first).alias("_place"), best("_id").over(run).alias("_best"), F.count("*").over(run).alias("_size"), F.col("_salt").alias("_part"),
+        *([F.when(~F.col("_none"), F.col("_content")).alias("_text")] if with_text else []),
+    )
     # Cold contents are complete in their run. Of hot ones, at most hot_parts digests have several runs.
     merged = (
         rows.filter("_salts is not null").groupBy("_digest").agg(best("_id").alias("_all_best"), F.count("*").alias("_all_size"), _part_of_best(keep).alias("_best_part"))
@@ -74,8 +78,8 @@ def mark_exact_duplicates(
     size = F.when(F.col("_salts").isNull(), F.col("_size")).otherwise(F.col("_all_size"))
     kept = (F.col("_place") == 1) & (F.col("_salts").isNull() | (F.col("_part") == F.col("_best_part")))
     return out.select(
-        F.col("_id").alias(id_col), keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"), *(["_carry"] if carry else [])
-    )
+        F.col("_id").alias(id_col), keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("_digest").alias("text_sha256"), *(["_carry"] if carry else []), *(["_text"] if with_text else [])
+    )
 
 
 def _part_of_best(keep: str) -> Column:
@@ -86,8 +90,9 @@ def _part_of_best(keep: str) -> Column:
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows that stay, with the columns of docs."""
-    marked = mark_exact_duplicates(docs, id_col, text_col, keep, carry=tuple(docs.columns))
-    return marked.filter("kept").select("_carry.*")
+    others = tuple(c for c in docs.columns if c != text_col)
+    marked = mark_exact_duplicates(docs, id_col, text_col, keep, carry=others, with_text=True)
+    return marked.filter("kept").select(*(F.col("_text").alias(c) if c == text_col else F.col(f"_carry.`{c}`").alias(c) for c in docs.columns))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
