@@ -3,7 +3,9 @@
 Pages are grouped by host. A line's ratio is the number of the host's pages that contain it over the host's
 pages; lines above `ratio` that occur on at least `least` pages are boilerplate of the host and are dropped from
 its pages. Lines are counted by two hashes, once a page, summed before and after one exchange. What is boilerplate
-of a host fits in one row: at most (lines a page) / ratio of them can exceed the ratio.
+of a host fits in one row: at most (lines a page) / ratio of them can exceed the ratio. Those rows are written, so that
+Spark knows their size: while they are small the pages do not move at all, else host and a salt are the join key, so that
+a host with a third of all pages is spread over SALTS partitions.
 
 Defined cases: null text counts as empty, and stays as an empty text; lines are compared without surrounding white
 space; blank lines are neither counted nor dropped; null is a host of its own; repeated rows are pages of their own;
@@ -15,30 +17,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starloom.llm.common import table, text_or_empty
+from starloom.llm.common import table, text_or_empty, written
 
 RATIO = 0.02
 LEAST = 5
+SALTS = 256
 
 
 def _mark(line: Column) -> Column:
     """96 bits of a stripped line; null if it is blank."""
-    bare = F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    bare = F.btrim(line, F.lit("\x20\x09\x0a\x0b\x0c\x0d"))
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("x"), F.hash(bare).alias("y")))
 
 
 def drop_boilerplate_lines(pages: DataFrame, id_col="doc_id", text_col="text", host_col="source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """Per row: id, n_lines, n_dropped (longs), clean_text."""
     lines = F.split(text_or_empty(text_col), "\n", -1)
-    rows = pages.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), lines.alias("_lines"))
+    host = F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("-"))  # never null
+    rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), lines.alias("_lines"))
     marks = F.array_distinct(F.filter(F.transform("_lines", _mark), lambda m: m.isNotNull()))
     counted = rows.select("_host", F.explode(marks).alias("_mark")).groupBy("_host", "_mark").agg(F.count("*").alias("_n"))
-    totals = rows.groupBy("_host").agg(F.count("*").alias("_pages")).select(F.col("_host").alias("_h"), "_pages")
-    frequent = (
-        counted.filter(F.col("_n") >= least).join(totals, F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("_n") > F.col("_pages") * ratio)
-        .groupBy("_h").agg(F.collect_list("_mark").alias("_boiler"))
-    )
-    joined = rows.join(frequent, F.col("_host").eqNullSafe(F.col("_h")), "left")
+    totals = rows.groupBy("_host").agg(F.count("*").alias("_pages"))
+    frequent = counted.filter(F.col("_n") >= least).join(totals, "_host").filter(F.col("_n") > F.col("_pages") * ratio)
+    frequent = written(frequent.groupBy("_host").agg(F.collect_list("_mark").alias("_boiler")), "boilerplate")
+    salted = frequent.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = rows.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left")
     stays = F.filter("_lines", lambda s: ~F.coalesce(F.array_contains("_boiler", _mark(s)), F.lit(False)))
     kept = F.when(F.col("_boiler").isNull(), F.col("_lines")).otherwise(stays)
     out = joined.select("_id", F.size("_lines").cast("long").alias("n_lines"), kept.alias("_kept"))
