@@ -153,5 +153,6 @@ def jaro_winkler_bound(a: Column, b: Column) -> Column:
     n, m = F.length(a), F.length(b)
     letters = F.split(a, "")
     shared = F.least(F.size(F.filter(letters, lambda x: (x != "") & (F.instr(b, x) > 0))), n, m)
+    shared = F.when(a.rlike(r"[\x{10000}-\x{10FFFF}]"), F.least(n, m)).otherwise(shared)  # split would cut such letters
     jaro = F.when((n == 0) | (m == 0) | (shared == 0), F.when(n == m, 1.0).otherwise(0.0)).otherwise((shared / n + shared / m + 1) / 3)
     return F.when(jaro > 0.7, jaro + 0.4 * (1 - jaro)).otherwise(jaro)
