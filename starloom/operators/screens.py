@@ -165,9 +165,10 @@ def has(severity: str) -> Column:
     return F.exists("_violations", lambda v: v["severity"] == severity)
 
 
-def clean_rows(screened: DataFrame) -> DataFrame:
-    """Rows without an ERROR; those whose key is null are never quarantined."""
-    return screened.filter(~(has("ERROR") & F.col("_record_id").isNotNull())).drop("_violations", "_record_id")
+def clean_rows(screened: DataFrame, keyed: bool = True) -> DataFrame:
+    """Rows without an ERROR; those whose key is null, and all rows of an entity without a key, are never quarantined."""
+    kept = screened.filter(~(has("ERROR") & F.col("_record_id").isNotNull())) if keyed else screened
+    return kept.drop("_violations", "_record_id")
 
 
 def quarantined_rows(screened: DataFrame) -> DataFrame:

@@ -121,6 +121,8 @@ def load_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, DataFrame]) -> dict:
     """Screens every entity in one pass each: clean rows, quarantine, error events, one audit row.
 
+    Rows with an ERROR go to quarantine by their key; an entity without a key keeps them, and they show in the events and the audit.
+
     A FATAL violation stops the run: all violations found so far are kept, that entity has no clean file, there is no audit.
     """
     counts, found, total = {}, None, 0
@@ -133,7 +135,7 @@ def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Data
         append_error_events(screens.error_events(v, batch, s.system, name, with_info=fatal), s.path("error", "events"))
         if fatal:
             return {"status": "FATAL", "stopped_at": name, "rows": counts}
-        write_table(screens.clean_rows(screened), s.path("staging", "cleaned", name))
+        write_table(screens.clean_rows(screened, keyed=key is not None), s.path("staging", "cleaned", name))
         if key and not (bad := screens.quarantined_rows(screened)).isEmpty():
             write_table(bad, s.path("error", "quarantine", batch, name))
         counts[name] = screened.count()

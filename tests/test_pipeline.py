@@ -51,6 +51,19 @@ def test_whole_run(spark, tmp_path):
     assert [r["status"] for r in runs(spark, s)] == ["SUCCESS", "SUCCESS"]
 
 
+def test_errors_of_an_entity_without_a_key_lose_no_row(spark, tmp_path):
+    s = settings(tmp_path)
+    (tmp_path / "rules.yaml").write_text("screens:\n  order-details:\n    column_property:\n      - {column: Quantity, rule: numeric_range, min: 1, max: 1000, severity: ERROR}\n")
+    bad = DETAILS + "10249,2,9.80,5000,0.0\n"
+    run_pipeline(spark, s, "b1", get=lambda u: bad.encode() if u.endswith("order-details.csv") else get(u))
+    kept = spark.read.parquet(s.path("staging", "cleaned", "order-details"))
+    assert sorted(r.quantity for r in kept.collect()) == ["10", "12", "5000", "9"]  # clean + quarantine = input
+    assert not (tmp_path / "data/error/quarantine/b1/order-details").exists()
+    assert spark.read.parquet(s.path("warehouse", "fact_sales")).filter("quantity = 5000").count() == 1
+    assert spark.read.parquet(s.path("error", "events")).filter("actual_value = '5000'").count() == 1
+    assert spark.read.parquet(s.path("warehouse", "dim_audit")).filter("audit_sk = 1").first().reject_row_count == 1
+
+
 def test_fatal_stops_the_run(spark, tmp_path):
     s = settings(tmp_path)
     bad = {**FILES, "customers.csv": CUSTOMERS + "NULL,No Key,x,x,x,x,x,x,x,x,x\n"}
