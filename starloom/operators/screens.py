@@ -49,6 +49,8 @@ POSTAL_PATTERNS = {
     "Venezuela": r"^\d{4}$",
 }
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -71,6 +73,17 @@ class Rule:
         return f"{self.kind}_{self.column}"
 
 
+@dataclass(frozen=True)
+class Drift:
+    """metric: row_count, column_mean. Against the entity's last run, or a row count given here."""
+
+    metric: str
+    severity: str = "WARN"
+    baseline: float | None = None
+    tolerance_pct: float = 20.0
+    column: str | None = None
+
+
 def find_column(df: DataFrame, name: str) -> str | None:
     return {c.lower(): c for c in reversed(df.columns)}.get(name.lower())
 
@@ -186,7 +199,7 @@ def error_events(found: DataFrame, batch: str, system: str, table: str, with_inf
         F.lit(batch).alias("etl_batch_id"), F.current_timestamp().alias("event_timestamp"), F.lit(system).alias("source_system"), F.lit(table).alias("source_table"),
         F.col("record_id").alias("source_record_pk"), "screen_name", F.col("severity").alias("screen_severity"), "column_name",
         F.col("expected").alias("expected_value"), F.col("actual").alias("actual_value"),
-        F.concat_ws(" ", "column_name", F.lit("is not"), "expected").alias("message"),
+        F.concat_ws(" ", F.coalesce("column_name", "screen_name"), F.lit("is not"), "expected").alias("message"),
     )
 
 
@@ -214,6 +227,53 @@ def column_baseline(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return whole.select("rows", F.explode(F.array(*one)).alias("s")).select("rows", "s.*")
 
 
+def profile(df: DataFrame) -> tuple[dict, dict[str, float]]:
+    """The baseline of an entity, {row_count, column_stats of its numeric columns}, and the mean of what is a number in every column. One scan.
+
+    Columns may be text: numeric is a column whose values all read as numbers. Figures are to six places.
+    """
+    one = []
+    for i, c in enumerate(df.columns):
+        text = F.trim(F.col(c).cast("string"))
+        x = F.when(text.rlike(NUMBER), text.try_cast("double"))
+        one += [F.count(c).alias(f"n{i}"), F.count(x).alias(f"k{i}")]
+        one += [f(x).alias(f"{n}{i}") for n, f in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max))]
+    got = df.agg(F.count("*").alias("rows"), *one).first()
+    figures = {
+        c: {n: None if (x := got[f"{n}{i}"]) is None else round(x, 6) for n in ("mean", "std", "min", "max")}
+        for i, c in enumerate(df.columns) if got[f"n{i}"] and got[f"n{i}"] == got[f"k{i}"]
+    }
+    return {"row_count": got["rows"], "column_stats": figures}, {c: got[f"mean{i}"] for i, c in enumerate(df.columns)}
+
+
+def drift_violations(baseline: dict, now: dict, means: dict[str, float], rules: list[Drift]) -> list[tuple]:
+    """Violations of an entity as a whole, as (record_id, screen_name, severity, column_name, expected, actual).
+
+    A rule's own row count goes before the stored one. Columns without a mean, now or in the baseline, are not compared.
+    """
+    names = {c.lower(): c for c in reversed(list(means))}
+    stored = {c.lower(): v for c, v in baseline.get("column_stats", {}).items()}
+    out: list[tuple] = []
+    for r in rules:
+        if r.metric == "row_count":
+            expected, current, column = r.baseline or baseline.get("row_count"), now["row_count"], None
+            said = (f"{expected} ± {r.tolerance_pct}%", str(current))
+        elif r.metric == "column_mean":
+            column = names.get((r.column or "").lower())
+            expected, current = stored.get((r.column or "").lower(), {}).get("mean"), means.get(column)
+            if column is None:
+                log.warning("reasonability: no column %s", r.column)
+        else:
+            log.warning("reasonability: no such metric: %s", r.metric)
+            continue
+        if expected is None or current is None or abs(current - expected) / max(abs(expected), 1) * 100 <= r.tolerance_pct:
+            continue
+        if r.metric == "column_mean":
+            said = (f"mean ≈ {expected:.4f} ± {r.tolerance_pct}%", f"{current:.4f}")
+        out.append(("DATASET", f"reasonability.{r.metric}", r.severity, column, *said))
+    return out
+
+
 def rules_from_yaml(path: str, entity: str) -> list[Rule]:
     """Rules of an entity; no file or no entity gives none. Severity defaults to WARN, for references to ERROR."""
     from pathlib import Path
@@ -231,3 +291,13 @@ def rules_from_yaml(path: str, entity: str) -> list[Rule]:
         for r in spec.get("data_rule", []) if r.get("name") == "postal_country_consistency"
     ]
     return out
+
+
+def drifts_from_yaml(path: str, entity: str) -> list[Drift]:
+    """Drift rules of an entity (`reasonability`); no file or no entity gives none."""
+    from pathlib import Path
+
+    if not Path(path).exists():
+        return []
+    spec = (load_yaml(path).get("screens") or {}).get(entity) or {}
+    return [Drift(r["metric"], r.get("severity", "WARN"), r.get("baseline"), float(r.get("tolerance_pct", 20)), r.get("column")) for r in spec.get("reasonability") or []]

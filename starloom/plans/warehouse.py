@@ -22,7 +22,7 @@ from starloom.schemas import KEYS, TRACKED
 from starloom.sources.fetch import CsvExtractor, ExtractError, JsonExtractor, snapshot_name
 from starloom.sources.readers import latest_in, read_csv, read_parquet_or_none
 from starloom.sources.sinks import DimensionStore, append_error_events, write_run, write_table
-from starloom.storage import children, exists, read_text, written
+from starloom.storage import children, exists, read_text, write_text, written
 
 log = logging.getLogger(__name__)
 
@@ -121,7 +121,7 @@ def load_raw(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
 def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, DataFrame]) -> dict:
     """Screens every entity in one pass each: clean rows, quarantine, error events, one audit row.
 
-    Rows with an ERROR go to quarantine by their key; an entity without a key keeps them, and they show in the events and the audit.
+    Row counts and means are compared with the entity's baseline. Rows with an ERROR go to quarantine by their key; an entity without a key keeps them, and they show in the events and the audit.
 
     A FATAL violation stops the run: all violations found so far are kept, that entity has no clean file, there is no audit.
     """
@@ -131,7 +131,10 @@ def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Data
         key = screens.find_column(df, PRIMARY_KEYS.get(name) or "") if PRIMARY_KEYS.get(name) else None
         screened = written(screens.screen(df, rules, key, entities), f"screened-{name}")
         v = screens.violations(screened)
-        fatal = screens.has_fatal(screened)
+        drifts = drift(spark, s, name, screened.drop("_violations", "_record_id"))
+        if drifts:
+            v = v.unionByName(spark.createDataFrame(drifts, v.schema))
+        fatal = screens.has_fatal(screened) or any(d[2] == "FATAL" for d in drifts)
         append_error_events(screens.error_events(v, batch, s.system, name, with_info=fatal), s.path("error", "events"))
         if fatal:
             return {"status": "FATAL", "stopped_at": name, "rows": counts}
@@ -146,6 +149,16 @@ def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Data
     return {"rows": counts}
 
 
+def drift(spark: SparkSession, s: Settings, name: str, df: DataFrame) -> list[tuple]:
+    """Drift of an entity from its baseline, which then becomes what is seen now. The first run only makes the baseline."""
+    path = s.path("staging", "_baselines", f"{name}.json")
+    now, means = screens.profile(df)
+    rules = screens.drifts_from_yaml(s.rules, name) if s.rules else []
+    found = screens.drift_violations(json.loads(read_text(spark, path)), now, means, rules) if exists(spark, path) else []
+    write_text(spark, path, json.dumps(now, indent=1))
+    return found
+
+
 def conform(spark: SparkSession, s: Settings, batch: str, entities: dict[str, DataFrame]) -> dict:
     """Standard forms, clusters and golden records for the mastered entities; published with the geography."""
     from starloom.sources.config import load_yaml

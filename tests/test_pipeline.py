@@ -3,8 +3,9 @@ import json
 import urllib.error
 
 import pytest
+from pyspark.sql import functions as F
 
-from starloom.plans.warehouse import PipelineError, Settings, run_pipeline, runs
+from starloom.plans.warehouse import PipelineError, Settings, clean, run_pipeline, runs
 from starloom.sources.config import ConfigError, load_sources
 from starloom.sources.fetch import CsvExtractor, ExtractError, JsonExtractor, latest_snapshot, with_retry
 from starloom.streaming.events import encode_orders
@@ -64,6 +65,30 @@ def test_errors_of_an_entity_without_a_key_lose_no_row(spark, tmp_path):
     assert spark.read.parquet(s.path("warehouse", "dim_audit")).filter("audit_sk = 1").first().reject_row_count == 1
 
 
+def test_drift_from_the_baseline(spark, tmp_path):
+    s = settings(tmp_path)
+    (tmp_path / "rules.yaml").write_text(
+        "screens:\n  shippers:\n    reasonability:\n      - {metric: row_count, tolerance_pct: 20, severity: WARN}\n      - {metric: column_mean, column: Weight, tolerance_pct: 10, severity: ERROR}\n"
+        "  products:\n    reasonability:\n      - {metric: row_count, baseline: 2, severity: FATAL}\n"
+    )
+
+    def go(batch, n, weight, products=2):
+        rows = lambda k: spark.createDataFrame([(str(i), f"{weight}.5", "x1" if i else "7") for i in range(k)], "shipperID string, weight string, name string").coalesce(1)
+        return clean(spark, s, batch, {"shippers": rows(n), "products": rows(products).withColumnRenamed("shipperID", "productID")})
+
+    seen = lambda b: {(r.source_table, r.screen_name, r.screen_severity, r.column_name, r.actual_value) for r in spark.read.parquet(s.path("error", "events")).filter(F.col("etl_batch_id") == b).collect()}
+    audit = lambda b: spark.read.parquet(s.path("warehouse", "dim_audit_batch", b)).first()
+    go("b1", 10, 1)
+    kept = json.loads((tmp_path / "data/staging/_baselines/shippers.json").read_text())
+    assert kept["row_count"] == 10 and kept["column_stats"]["weight"] == {"mean": 1.5, "std": 0.0, "min": 1.5, "max": 1.5} and "name" not in kept["column_stats"]
+    assert not seen("b1") and audit("b1").quality_score == 1
+    go("b2", 5, 2)  # fewer rows and another mean
+    assert seen("b2") == {("shippers", "reasonability.row_count", "WARN", None, "5"), ("shippers", "reasonability.column_mean", "ERROR", "weight", "2.5000")}
+    assert audit("b2").reject_row_count == 1 and audit("b2").has_anomalies and float(audit("b2").quality_score) == 0.8143
+    assert go("b3", 5, 2, products=3) == {"status": "FATAL", "stopped_at": "products", "rows": {"shippers": 5}}
+    assert seen("b3") == {("products", "reasonability.row_count", "FATAL", None, "3")}
+
+
 def test_fatal_stops_the_run(spark, tmp_path):
     s = settings(tmp_path)
     bad = {**FILES, "customers.csv": CUSTOMERS + "NULL,No Key,x,x,x,x,x,x,x,x,x\n"}
