@@ -401,6 +401,24 @@ def test_kneser_ney_sums_to_one_and_rejects(spark):
     assert language_id.drop_unidentified(docs_of(spark, [None, "the cat", "  "]), m).count() == 1
 
 
+def test_every_letter_and_label_is_learned(spark):
+    rng = np.random.default_rng(5)
+
+    def text(letters, words=12):
+        return " ".join("".join(rng.choice(list(letters), 3)) for _ in range(words))
+
+    scripts = {"en": "abcdefghijklmnopqrstuvwxyz", "lo": [chr(c) for c in range(0x0E81, 0x0EAF) if chr(c).isalpha()], "km": [chr(c) for c in range(0x1780, 0x17A3)]}
+    scripts |= {f"x{k:03d}": [chr(0xAC00 + 10 * k + j) for j in range(10)] for k in range(420)}  # 4,200 letters, a row a label
+    rows = [(k, text(v)) for k, v in scripts.items() for _ in range(1 if k[0] == "x" else 30)]
+    m = language_id.train(docs_of(spark, [t for _, t in rows], lang=[k for k, _ in rows]), "text", "lang", "doc_id")
+    assert len(m.languages) == 423 and len(m.alphabet.letters) > 4200 and m.alphabet.bits == 13
+    unseen = "".join(chr(c) for c in range(0x10D0, 0x10F0))  # Georgian
+    lang, _, _, bad = language_id.Scorer(m).predict([*(text(v) for v in scripts.values()), text(unseen)], 12.0)
+    assert lang[:-1] == list(scripts) and not any(bad[:3]) and bad[-1]
+    p = np.exp(m.score_grams(np.array([[1 << 13 | c for c in range(len(m.alphabet.letters) + 1)], [0] * (len(m.alphabet.letters) + 1)])).astype(float)).sum(axis=0)
+    assert np.all(p <= 1.0001) and np.all(p > 0.9)
+
+
 def test_no_labels_at_all(spark):
     df = docs_of(spark, ["abc", None])
     m = language_id.train(df, "text", "lang", "doc_id")
