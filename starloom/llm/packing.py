@@ -5,8 +5,9 @@ but the first are full; full pieces are sequences of their own. The other pieces
 dealt by hash over partitions and packed there in blocks of at most `block` pieces: best-fit decreasing, then
 local search among the bins that still have room. A move puts a piece of one bin into another, a one-for-one
 exchange swaps a longer piece in for a shorter one, a two-for-one exchange swaps one piece in for two that
-are shorter together (or the reverse). Every step raises the sum of squared fills, so the search ends; bins
-that become empty go. What blocks cost is less than one sequence each.
+are shorter together (or the reverse). Every step raises the sum of squared fills, so the search ends, after
+`rounds` rounds at the latest; each bin is tried with the `near` fullest open ones, and two-for-one exchanges with the
+12 longest pieces of a bin. Bins that become empty go. What blocks cost is less than one sequence each.
 
 Defined cases: null and empty texts have one token, the end of text; repeated rows and ids are packed each for
 themselves; an empty table gives no rows. Columns other than id and text are not read.
