@@ -5,15 +5,16 @@ source's weight: the sources share `share` times all words by weight, each stopp
 words, the excess being shared again among the others (water filling, solved in closed form from running
 sums over the sources). Within a source, documents are ordered by a hash of their id and taken in that order,
 again from the start after the last, until the target is reached; the document at the end is taken in part.
-The place of a document in its source's demand is then inverted through the integral of the schedule, which
-gives its training position, and the mix is range-sorted by position.
+Every pass of a document has a place of its own in its source's demand, which is inverted through the integral of
+the schedule: a training position for each (document, pass). The mix is range-sorted by position.
 
 The running sum over a source is taken in two steps, hash bucket totals first and then inside each bucket,
 so a source with a third of all rows is spread over BUCKETS groups.
 
 Defined cases: null text has size 0; sources go by code point, null last, and null is a source of its own;
-sources without words have target 0; repeated ids count as separate documents (order: hash, id, size);
-positions of documents that the mix does not take are null; an empty table gives an empty result.
+sources without words have target 0; repeated ids count as separate documents (order: hash, id, size), in one bucket;
+a null id is ordered by a hash of its text; passes that the mix does not take have no position; an empty table gives an
+empty result. Columns other than id, text and source are carried along or not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -76,16 +77,16 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, e
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", schedules=SCHEDULES, share: float = 1.5, epochs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: id, size, source_size, target, taken (words), copies (passes begun), position; with `carry`, a struct _carry of the columns it names."""
+    """Per document: id, size, source_size, target, taken (words), positions (one for each pass begun); with `carry`, a struct _carry of the columns it names."""
     size = F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long")
-    order = F.md5(F.col(id_col).cast("string"))
+    order = F.coalesce(F.md5(F.col(id_col).cast("string")), F.md5(text_or_empty(text_col)))
     # A key that is never null, so that the join below can use the window's exchange.
     named = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("-"))
     rows = docs.select(
-        F.col(id_col).alias("_id"), named.alias("_key"), size.alias("size"), F.coalesce(order, F.lit("")).alias("_order"),
+        F.col(id_col).alias("_id"), named.alias("_key"), size.alias("size"), order.alias("_order"),
         F.struct(*(F.col(c) for c in carry)).alias("_carry") if carry else F.lit(None).cast("int").alias("_carry"),
     )
-    bucket = F.coalesce(F.conv(F.substring("_order", 1, 3), 16, 10).cast("int") * BUCKETS / 4096, F.lit(0)).cast("int")
+    bucket = (F.conv(F.substring("_order", 1, 3), 16, 10).cast("int") * BUCKETS / 4096).cast("int")
     rows = rows.withColumn("_bucket", bucket)
     sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("size"))
     source = F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30))
@@ -99,38 +100,44 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     goal = F.round("target").cast("long")
     passes = [F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - start - F.col("source_size") * e)) for e in range(epochs)]
     taken = sum(passes[1:], passes[0])
-    copies = sum(((p > 0).cast("int") for p in passes[1:]), (passes[0] > 0).cast("int"))
-    middle = F.when(goal > 0, F.least(F.lit(1.0), (start + passes[0] / 2) / goal))
-    place = F.lit(None).cast("double")
-    for k, knots in enumerate(schedules):
-        place = F.when(F.pmod("rank", F.lit(len(schedules))) == k, progress_at(knots, middle)).otherwise(place)
+
+    def position(e: int) -> Column:
+        middle = F.least(F.lit(1.0), (start + F.col("source_size") * e + passes[e] / 2) / goal)
+        place = F.lit(None).cast("double")
+        for k, knots in enumerate(schedules):
+            place = F.when(F.pmod("rank", F.lit(len(schedules))) == k, progress_at(knots, middle)).otherwise(place)
+        return F.when(passes[e] > 0, place)
+
+    positions = F.array_compact(F.array(*(position(e) for e in range(epochs))))
     return placed.select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.when(taken > 0, place).alias("position"),
-        *(["_carry"] if carry else []),
+        F.col("_id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"), *(["_carry"] if carry else []),
     )
 
 
-def in_training_order(mixed: DataFrame, id_col="doc_id") -> DataFrame:
-    return mixed.repartitionByRange("position", id_col).sortWithinPartitions("position", id_col)
+def in_training_order(mixed: DataFrame, position: str = "position", id_col="doc_id") -> DataFrame:
+    return mixed.repartitionByRange(position, id_col).sortWithinPartitions(position, id_col)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: those not taken go, those in their second pass come twice, in training order.
+def mixed_documents(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source") -> DataFrame:
+    """The mix as documents in training order: those not taken go, those in their second pass come twice, each at its own place.
 
     A document taken in part stays whole: texts are never cut here.
     """
-    taken = mix(docs, carry=tuple(docs.columns)).filter("copies > 0")
-    repeated = taken.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return in_training_order(repeated).select("_carry.*")
+    # Positions are computed on ids and sizes and texts move once, with them.
+    mixed = mix(docs, id_col, text_col, source_col, carry=tuple(docs.columns)).select(F.col(id_col).alias("_id"), F.explode("positions").alias("_position"), "_carry")
+    return in_training_order(mixed, "_position", "_id").select("_carry.*")
 
 
 def op6_mixing_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return in_training_order(mix(docs)).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    place = lambda e: F.round(F.get("positions", F.lit(e)), 8)
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", place(0).alias("position"), place(1).alias("position_2"))
+    return in_training_order(mixed)
 
 
+#: Positions by halving: the integral of a schedule from 0 to t is t times the mean of its ends, as all are linear.
 ORACLE = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(doc_id::VARCHAR) AS o
   FROM documents
 ), s AS (
@@ -151,13 +158,16 @@ WITH d AS (
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
   SELECT *, greatest(0, least(size, goal - start)) AS p0, greatest(0, least(size, goal - start - source_size)) AS p1 FROM p
-), m AS (
-  SELECT *, CASE WHEN goal > 0 THEN least(1.0::DOUBLE, (start + p0 / 2) / goal) END AS u FROM q
-)
-SELECT doc_id, size, source_size, target, (p0 + p1)::BIGINT AS taken,
-  CASE WHEN p0 + p1 > 0 THEN round(CASE k
-    WHEN 0 THEN least(1.0, 2 * 5 * u / (sqrt(49 - 8 * 5 * u) + 7))
-    WHEN 1 THEN u
-    ELSE sqrt(u) END, 9) END AS position
-FROM m
+), u AS (
+  SELECT *, (start + p0 / 2) / goal AS u0, (start + source_size + p1 / 2) / goal AS u1 FROM q
+), b AS (
+  SELECT doc_id, k, 0 AS e, u0 AS u, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi, 0 AS step FROM u WHERE p0 > 0
+  UNION ALL SELECT doc_id, k, 1, u1, 0.0, 1.0, 0 FROM u WHERE p1 > 0
+  UNION ALL SELECT doc_id, k, e, u, CASE WHEN low THEN t ELSE lo END, CASE WHEN low THEN hi ELSE t END, step + 1 FROM (
+    SELECT *, t * (w0 + w) / 2 < u * whole AS low FROM (
+      SELECT *, CASE k WHEN 0 THEN 7 WHEN 1 THEN 2 ELSE 0 END AS w0, CASE k WHEN 0 THEN 7 - 4 * t WHEN 1 THEN 2 ELSE 2 * t END AS w, CASE k WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS whole
+      FROM (SELECT *, (lo + hi) / 2 AS t FROM b WHERE step < 52)))
+), x AS (SELECT doc_id, max(lo) FILTER (e = 0) AS t0, max(lo) FILTER (e = 1) AS t1 FROM b WHERE step = 52 GROUP BY doc_id)
+SELECT u.doc_id, size, source_size, target, (p0 + p1)::BIGINT AS taken, round(t0, 8) AS position, round(t1, 8) AS position_2
+FROM u LEFT JOIN x ON x.doc_id = u.doc_id
 """

@@ -271,8 +271,8 @@ def test_mix_takes_what_it_should(spark):
     by = defaultdict(lambda: [0, 0.0])
     for r in rows:
         size = len(re.findall(r"[^\x20\x09-\x0D]+", texts[r.doc_id] or ""))
-        assert r.size == size and 0 <= r.taken <= 2 * size and (r.position is None) == (r.taken == 0)
-        assert r.position is None or 0 <= r.position <= 1
+        assert r.size == size and 0 <= r.taken <= 2 * size and len(r.positions) == (r.taken > 0) + (r.taken > r.size)
+        assert all(0 <= p <= 1 for p in r.positions)
         by[r.source_size, r.target][0] += r.taken
     assert all(abs(taken - target) <= 1 for (_, target), (taken, _) in by.items())
     assert sorted(map(repr, rows)) == sorted(map(repr, mixing.mix(df.repartition(3)).collect()))
