@@ -3,20 +3,26 @@
 Documents are tokenised once. A document longer than a sequence is cut from its end, so that all its pieces
 but the first are full; full pieces are sequences of their own. The other pieces, a few integers each, are
 dealt by hash over partitions and packed there in blocks of at most `block` pieces: best-fit decreasing, then
-local search among the bins that still have room. A move puts a piece of one bin into another, a one-for-one
+local search among the bins that still have room. A move puts a piece of one bin into a fuller one, a one-for-one
 exchange swaps a longer piece in for a shorter one, a two-for-one exchange swaps one piece in for two that
-are shorter together (or the reverse). Every step raises the sum of squared fills, so the search ends, after
-`rounds` rounds at the latest; each bin is tried with the `near` fullest open ones, and two-for-one exchanges with the
-12 longest pieces of a bin. Bins that become empty go. What blocks cost is less than one sequence each.
+are shorter together (or the reverse, or two for two). Every step raises the sum of squared fills. Bins are drained
+from the emptiest up, each against all open bins and all their pieces, and those that become empty go, until no step is
+left, or until as few bins are left as a lower bound allows. After `steps` exchanges a block's search ends early; that
+bounds its time, and its bins are as full as it got them. What blocks cost is less than one sequence each.
+
+Ids are those of the tokenizers library, also where a text has the string of an added token such as <|endoftext|>.
 
 Defined cases: null and empty texts have one token, the end of text; repeated rows and ids are packed each for
-themselves; an empty table gives no rows. Columns other than id and text are not read.
+themselves; an empty table gives no rows. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +33,7 @@ from starloom.llm.common import small_batches, table
 
 LENGTH = 1024
 BLOCK = 100_000
+STEPS = 20_000
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -34,26 +41,39 @@ _encoders: dict = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """texts -> lists of ids, for a file of public_tokenizers.
+    """texts -> lists of ids, as the tokenizers library gives them for a file of public_tokenizers.
 
-    The byte-level vocabulary exists as ranks for tiktoken too, which gives the same ids several times as fast;
-    tests/llm compares the two libraries. Strings like special tokens count as ordinary text.
+    The byte-level vocabulary exists as ranks for tiktoken too, which gives the same ids several times as fast. Added
+    tokens that are plain strings are cut out of the text first, as tokenizers does; tests/llm compares the two libraries.
     """
     if vocabulary not in _encoders:
         import public_tokenizers as public
 
-        if vocabulary == "byte_bpe_50k.json":
+        with open(public.path(vocabulary), encoding="utf-8") as f:
+            added = json.load(f)["added_tokens"]
+        plain = not any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added)
+        if vocabulary == "byte_bpe_50k.json" and plain:
             import tiktoken
 
             with open(public.path("byte_bpe_50k.tiktoken"), "rb") as lines:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             one = tiktoken.Encoding("byte_bpe_50k", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _encoders[vocabulary] = lambda texts: [one.encode_ordinary(t) for t in texts]
+            ids = {a["content"]: a["id"] for a in added}
+            border = re.compile("(" + "|".join(map(re.escape, sorted(ids, key=len, reverse=True))) + ")") if ids else None
+
+            def encode(text: str) -> list[int]:
+                if border is None or not border.search(text):
+                    return one.encode_ordinary(text)
+                out: list[int] = []
+                for part in border.split(text):
+                    out += [ids[part]] if part in ids else one.encode_ordinary(part)
+                return out
+
+            _encoders[vocabulary] = lambda texts: [encode(t) for t in texts]
         else:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(public.path(vocabulary))
-            t.encode_special_tokens = True
             _encoders[vocabulary] = lambda texts: [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     return _encoders[vocabulary]
 
@@ -110,70 +130,136 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[list[list[int]], list[int]
     return bins, [int(sum(sizes[i] for i in b)) for b in bins]
 
 
-def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, length: int, rounds: int = 8, near: int = 64) -> list[list[int]]:
-    """Moves and exchanges among bins with room, while some step raises the sum of squared fills.
+def least_bins(sizes: np.ndarray, length: int) -> int:
+    """No packing has fewer bins: by the sum, by pieces too long to share with others, and by how many of a size fit a bin."""
+    if not len(sizes):
+        return 0
+    count = np.bincount(sizes, minlength=length + 1)
+    many, total = np.cumsum(count[::-1])[::-1], np.cumsum((count * np.arange(length + 1))[::-1])[::-1]  # of at least that size
+    half = length // 2 + 1
+    best = max(-(-int(total[0]) // length), int(many[half]))
+    for k in range(1, half):
+        # pieces above length - k sit alone among those of at least k; the other long ones leave room for short ones
+        alone = int(many[length - k + 1])
+        long_, long_total = int(many[half]) - alone, int(total[half] - total[length - k + 1])
+        short = int(total[k] - total[half])
+        best = max(best, alone + long_ + max(0, -(-(short - (long_ * length - long_total)) // length)))
+        best = max(best, -(-int(many[k]) // (length // k)))
+    return best
+
+
+class Exchange:
+    """What a block's open bins can give in exchange: for each bin nothing, one piece or two, by distinct sizes, in flat arrays.
 
-    Each round pairs every open bin, emptiest first, with the `near` fullest open ones. A pass without a step ends it.
+    A bin that changes has its old entries voided and new ones put at the end.
     """
-    size = sizes.tolist()
-    for _ in range(rounds):
-        open_bins = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < length), key=lambda b: fill[b])
-        if len(open_bins) < 2 or sum(fill[b] for b in open_bins) > (len(open_bins) - 1) * length:
-            break  # not even perfect packing would empty a bin
+
+    def __init__(self, contents: dict[int, list[int]], fill: dict[int, int], length: int):
+        self.length, self.contents = length, contents
+        self.fill = np.full(max(contents, default=0) + 1, length, np.int64)
+        for b, f in fill.items():
+            self.fill[b] = f
+        self.span: dict[int, tuple[int, int]] = {}
+        self.end = self.void = 0
+        self.data = np.zeros((4, 1024), np.int64)  # value, bin, one size, another
+        for b in contents:
+            self._enter(b)
+
+    @staticmethod
+    def options(sizes: list[int], pairs: bool = True) -> list[tuple[int, int, int]]:
+        have = Counter(sizes)
+        kinds = sorted(have, reverse=True)
+        out = [(x, x, 0) for x in kinds]
+        if pairs:
+            out += [(x + y, x, y) for i, x in enumerate(kinds) for y in kinds[i if have[x] > 1 else i + 1 :]]
+        return out
+
+    def _enter(self, b: int) -> None:
+        rows = [(0, 0, 0), *self.options(self.contents[b])]
+        if self.end + len(rows) > self.data.shape[1]:
+            live = np.flatnonzero(self.data[0, : self.end] <= self.length)
+            order = live[np.argsort(self.data[1, live], kind="stable")]
+            kept = self.data[:, order]
+            self.data = np.zeros((4, 2 * (len(order) + len(rows)) + 1024), np.int64)
+            self.data[:, : len(order)], self.end = kept, len(order)
+            bins, first = np.unique(kept[1], return_index=True)
+            self.span = {int(x): (int(a), int(c)) for x, a, c in zip(bins, first, [*first[1:], len(order)])}
+        a, c = self.end, self.end + len(rows)
+        new = np.array(rows, np.int64).T
+        self.data[0, a:c], self.data[1, a:c], self.data[2:, a:c] = new[0], b, new[1:]
+        self.span[b], self.end = (a, c), c
+
+    def _leave(self, b: int) -> None:
+        a, c = self.span.pop(b)
+        self.data[0, a:c] = 4 * self.length  # never shorter than what it is exchanged for
+
+    def step(self, a: int, pairs: bool) -> bool:
+        """The exchange that raises the sum of squared fills most by draining bin a into a fuller one; False if there is none."""
+        value, where = self.data[0, : self.end], self.data[1, : self.end]
+        fill = self.fill[where]
+        usable = np.flatnonzero((value <= self.length) & (where != a) & (fill >= self.fill[a]) & (fill < self.length) & ((self.data[3, : self.end] == 0) | pairs))
+        if not len(usable):
+            return False
+        value, fill = value[usable], fill[usable]
+        room, above = self.length - fill, fill - self.fill[a]
+        best, most = None, 0
+        give = self.options(self.contents[a], pairs)
+        per = max(1, 2_000_000 // len(usable))
+        for i in range(0, len(give), per):
+            part = give[i : i + per]
+            d = np.array([g[0] for g in part], np.int64)[:, None] - value
+            gain = np.where((d > 0) & (d <= room), d * (above + d), 0)
+            k = int(gain.argmax())
+            if gain.flat[k] > most:
+                most, best = int(gain.flat[k]), (part[k // len(usable)], int(usable[k % len(usable)]))
+        if best is None:
+            return False
+        (_, *out), entry = best
+        b, into = int(where[entry]), [int(x) for x in self.data[2:, entry]]
+        for x in filter(None, out):
+            self.contents[a].remove(x)
+            self.contents[b].append(x)
+        for x in filter(None, into):
+            self.contents[b].remove(x)
+            self.contents[a].append(x)
+        gained = sum(out) - sum(into)
+        self.fill[a] -= gained
+        self.fill[b] += gained
+        for x in (a, b):
+            self._leave(x)
+            if 0 < self.fill[x] < self.length:
+                self._enter(x)
+        return True
+
+
+def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, length: int, steps: int = STEPS) -> list[list[int]]:
+    """Moves and exchanges among bins with room, until no step raises the sum of squared fills, or no bin can be saved."""
+    least, count = least_bins(sizes, length), len(bins)
+    contents = {k: [int(sizes[i]) for i in b] for k, b in enumerate(bins) if fill[k] < length}
+    if count <= least or len(contents) < 2:
+        return bins
+    pieces: dict[int, list[int]] = {}  # the pieces in open bins by size: any of a size will do
+    for k in contents:
+        for i in bins[k]:
+            pieces.setdefault(int(sizes[i]), []).append(i)
+    search = Exchange(contents, {k: fill[k] for k in contents}, length)
+    changed = True
+    while changed and count > least and steps > 0:
         changed = False
-        for k, a in enumerate(open_bins):
-            for b in reversed(open_bins[max(k + 1, len(open_bins) - near) :]):
-                if not bins[a]:
+        failed: set[tuple[int, ...]] = set()  # contents that found no step since the last change
+        for a in sorted(contents, key=lambda b: int(search.fill[b])):
+            while 0 < search.fill[a] < length and steps > 0 and (key := tuple(sorted(contents[a]))) not in failed:
+                if not (search.step(a, False) or search.step(a, True)):
+                    failed.add(key)
                     break
-                if fill[a] > fill[b]:
-                    continue
-                while step := _step(bins[a], bins[b], size, length - fill[b]):
-                    out, into = step
-                    for i in out:
-                        bins[a].remove(i)
-                        bins[b].append(i)
-                    for i in into:
-                        bins[b].remove(i)
-                        bins[a].append(i)
-                    gain = sum(size[i] for i in out) - sum(size[i] for i in into)
-                    fill[a] -= gain
-                    fill[b] += gain
-                    changed = True
-                    if fill[b] == length or not bins[a]:
-                        break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _step(a: list[int], b: list[int], size: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """The exchange that fills b (the fuller bin) most: moves, then one for one, then one for two and two for one."""
-    if room <= 0:
-        return None
-    best, gain = None, 0
-    for i in a:
-        if gain < size[i] <= room:
-            best, gain = ([i], []), size[i]
-    if gain:
-        return best
-    for i in a:
-        for j in b:
-            if gain < size[i] - size[j] <= room:
-                best, gain = ([i], [j]), size[i] - size[j]
-    if gain == room:
-        return best
-    few_a, few_b = sorted(a, key=lambda i: -size[i])[:12], sorted(b, key=lambda i: -size[i])[:12]
-    for x, i in enumerate(few_a):
-        for i2 in few_a[x + 1 :]:
-            for j in few_b:
-                if gain < (d := size[i] + size[i2] - size[j]) <= room:
-                    best, gain = ([i, i2], [j]), d
-    for x, j in enumerate(few_b):
-        for j2 in few_b[x + 1 :]:
-            for i in few_a:
-                if gain < (d := size[i] - size[j] - size[j2]) <= room:
-                    best, gain = ([i], [j, j2]), d
-    return best
+                failed.clear()
+                changed, steps = True, steps - 1
+            if search.fill[a] == 0 and contents[a] == []:
+                count -= 1
+                search.fill[a] = length  # closed
+            if count <= least or steps <= 0:
+                break
+    return [b for k, b in enumerate(bins) if k not in contents] + [[pieces[x].pop() for x in c] for c in contents.values() if c]
 
 
 def pack_block(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +276,8 @@ def pack_block(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, n
 
 
 def pack(cut: DataFrame, id_col="doc_id", length: int = LENGTH, block: int = BLOCK) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Any table with id, piece and length does."""
-    names = cut.columns
+    """Adds sequence_id and offset to pieces (in place of columns of these names). Any table with id and length does."""
+    cut = cut.drop("sequence_id", "offset")
 
     def run(batches):
         from pyspark import TaskContext
@@ -223,7 +309,8 @@ def pack(cut: DataFrame, id_col="doc_id", length: int = LENGTH, block: int = BLO
         if held:
             yield from flush()
 
-    dealt = cut.repartition(F.col(id_col)).sortWithinPartitions(id_col, *(c for c in ("piece", "start", "length", "ids_crc32") if c in names))
+    key = [id_col, *(c for c in ("piece", "start", "length", "ids_crc32") if c in cut.columns)]  # not the id alone: it may repeat or be null
+    dealt = cut.repartition(F.xxhash64(*key)).sortWithinPartitions(*key)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
     return dealt.mapInArrow(run, f"{schema}, sequence_id bigint, offset bigint")
 

@@ -323,15 +323,6 @@ def test_normaliser_makes_members_that_the_index_finds():
 
 # ---- 8
 
-def test_ids_equal_those_of_tokenizers(spark):
-    import public_tokenizers as public
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    texts = [x or "" for x in EDGE if len(x or "") < 30_000] + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(80).collect()] + ["it's  we'll\n\n x", "١٢٣ abc d"]
-    assert packing.encoder()(texts) == [t.encode(x, add_special_tokens=False).ids for x in texts]
-
-
 def test_packing(spark):
     texts = [*EDGE, *("tok " * random.Random(i).randrange(1, 1500) for i in range(150))]
     df = docs_of(spark, texts)
@@ -359,20 +350,6 @@ def test_packing(spark):
     assert len(by_seq) <= least * 1.02 + 4  # a partition may leave one sequence open
 
 
-def test_local_search_empties_bins():
-    # best fit decreasing needs 4 bins here, exchanges need 3
-    sizes = np.array([6, 5, 5, 4, 4, 3, 3])
-    bins, fill = packing.best_fit(sizes, 10)
-    after = packing.local_search([list(b) for b in bins], list(fill), sizes, 10)
-    assert sorted(i for b in after for i in b) == list(range(7)) and all(sizes[b].sum() <= 10 for b in after) and len(after) == 3
-    rng = np.random.default_rng(0)
-    for _ in range(20):
-        sizes = rng.integers(1, 100, 60)
-        bins, fill = packing.best_fit(sizes, 100)
-        after = packing.local_search([list(b) for b in bins], list(fill), sizes, 100)
-        assert len(after) <= len(bins) and sorted(i for b in after for i in b) == list(range(60)) and all(sizes[b].sum() <= 100 for b in after)
-
-
 # ---- 9
 
 def test_language_id_held_out(spark):
