@@ -2,20 +2,21 @@
 
 Unit vectors with cosine >= t are at most d = sqrt(2 - 2t) apart. After a fixed random rotation the coordinates
 are split into BLOCKS blocks of few dimensions; the squared distance is the sum over blocks, so some block has
-at most its proportional share d^2 * dims / all dims. Each block is range-joined under that budget: its first
-two coordinates put a vector into a grid cell of width `wide` budgets, and into the cells below whose upper border is within the
-budget, so that every pair within budget meets in the cell that is the smaller of its two cells in each
-coordinate. The union of candidates over the blocks is verified exactly, by cosine in double precision.
+at most its proportional share d^2 * dims / all dims. Each block is range-joined under that budget, and the union of the
+candidates over the blocks is verified exactly, by cosine in double precision.
 
-A pair is counted once: in the first block whose budget it meets, and there in that one cell. Pairs are never
-emitted; a task returns for each vector the number of links and links to the roots of its local components
-(a forest). Vectors that are equal in all components travel once, as a class with its count. Cells with more
-than `most` vectors are dealt in chunks, one task for each pair of chunks, which is exact.
+A task holds the vectors of one label, or two chunks of a large label: a vector travels once for each chunk of its label,
+and a pair meets in one task. There the vectors are ordered by median splits into compact tiles. A pair of tiles is range-joined in
+the blocks in which their bounding boxes are within the budget, and not at all if the boxes are farther apart than d.
+Pairs are never emitted; a task returns for each vector the number of links and links to the roots of its local components
+(a forest). Vectors that are equal in all components travel once, as a class with its count. A chunk has at most
+CHUNK_BYTES of numbers; the chunks of a label grow with its vectors, so a label of n vectors moves n^2 / chunk of them: vectors
+of no particular direction share no smaller neighbourhoods that an exact join could use.
 
 Defined cases: vectors are compared only when labels are equal and not null. A vector that is null, zero or has null
-or non-finite components links with nothing and is its own component. Vectors of different lengths link with
-nothing. Rows that repeat a vec_id are vectors of their own for the counts and share their component. Null ids have
-no component. Other columns are not read.
+or non-finite components links with nothing and is its own component; finite ones of any size are scaled by their largest
+component first. Vectors of different lengths link with nothing. Rows that repeat a vec_id are vectors of their own. A null id
+has no component and is not kept, but counts as a link of others. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,14 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import by_group, small_batches, table, written
-from starloom.llm.components import Forest, components
+from starloom.llm.components import components
 
 COSINE = 0.93
 BLOCKS = 8
-WIDE = 2.0
-MOST = 3000
+CHUNK_BYTES = 16 << 20  # of double precision numbers
+HALVED = 2048  # labels of more vectors are dealt as two chunks at least, for the sake of parallel tasks
 TILE = 512
-FEW = 20_000  # pairs of a tile that are looked at one by one
+FEW = 20_000  # candidates of a pair of tiles that are looked at one by one
+LOOSE = 4e-6  # what rounding to single precision may add to a squared distance of unit vectors
 
 
 def rotation(dims: int, seed: int = 20240) -> np.ndarray:
@@ -46,161 +48,157 @@ def block_bounds(dims: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(cut[:-1].tolist(), cut[1:].tolist()))
 
 
-def _unit(raw: pa.Array, dims: int, kind: str) -> np.ndarray:
-    """Unit vectors in double precision, whatever the stored kind (floats that came as floats travel as floats)."""
-    v = np.frombuffer(b"".join(raw.to_pylist()), kind).reshape(-1, dims).astype(np.float64)
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1, whatever their size."""
+    v = v / np.abs(v).max(axis=1)[:, None]
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
-def _budgets(dims: int, cosine: float, blocks: int) -> list[tuple[int, int, float]]:
-    # a little more than the bound, for rounding of the rotated coordinates
-    return [(a, b, (2 - 2 * cosine) * (b - a) / dims * (1 + 1e-9) + 1e-12) for a, b in block_bounds(dims, blocks)]
-
-
-def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, wide: float = WIDE, most: int = MOST, kind: str = "<f8") -> tuple[DataFrame, DataFrame]:
-    """vectors: (cls long, label, raw binary of numbers of `kind`, n copies). Returns (cls, links) and (a, b) of a spanning forest."""
-
-    width_of = np.dtype(kind).itemsize
-
-    def place(batches):
-        """One row for each block and cell that a vector is in; dx, dy: how far below its own cell that is."""
-        for batch in batches:
-            lengths = np.array([len(x) // width_of for x in batch.column("raw").to_pylist()])
-            for dims in np.unique(lengths).tolist():
-                part = batch.take(pa.array(np.flatnonzero(lengths == dims)))
-                r = _unit(part.column("raw"), dims, kind) @ rotation(dims)
-                label = np.array(part.column("label_hash").to_numpy(), np.int64)
-                for k, (a, b, budget) in enumerate(_budgets(dims, cosine, blocks)):
-                    width = wide * np.sqrt(budget)
-                    lead = r[:, [a, min(b, a + 2) - 1]]  # twice the same where a block has one dimension
-                    cell = np.floor(lead / width).astype(np.int64)
-                    near = lead - cell * width <= np.sqrt(budget) * (1 + 1e-9)  # within reach of the cell below
-                    for dx, dy in np.ndindex(2, 2):
-                        here = np.flatnonzero((near[:, 0] | (dx == 0)) & (near[:, 1] | (dy == 0)))
-                        key = _key(label, dims, k, cell - np.array([dx, dy]))[here]
-                        p = part.take(pa.array(here))
-                        small = [pa.array(np.full(len(here), v, np.int32)) for v in (k, dx, dy)]
-                        yield pa.RecordBatch.from_arrays([pa.array(key), p.column("cls"), p.column("raw"), p.column("n"), *small], names=["key", "cls", "raw", "n", "block", "dx", "dy"])
-
-    placed = vectors.select("cls", F.xxhash64("label").alias("label_hash"), "raw", "n").mapInArrow(place, "key bigint, cls bigint, raw binary, n bigint, block int, dx int, dy int")
-    large = placed.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select("key", F.ceil(F.col("_n") / most).cast("int").alias("_chunks"))
-    dealt = placed.join(large, "key", "left").withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_chunks")).cast("int"))
+def tiles_of(r: np.ndarray, rows: np.ndarray, tile: int = TILE) -> list[np.ndarray]:
+    """Median splits along the widest coordinate, down to `tile` rows."""
+    if len(rows) <= tile:
+        return [rows] if len(rows) else []
+    part = r[rows]
+    axis = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+    half = -(-len(rows) // tile // 2) * tile  # whole tiles to the left
+    order = np.argpartition(part[:, axis], half)
+    return tiles_of(r, rows[order[:half]], tile) + tiles_of(r, rows[order[half:]], tile)
+
+
+class Groups:
+    """Components inside one task, by arrays; the root is the smallest member."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        while True:
+            x, y = self.up[a], self.up[b]
+            apart = x != y
+            if not apart.any():
+                return
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(self.up, np.maximum(x, y), np.minimum(x, y))
+            while (shorter := self.up[self.up]).tobytes() != self.up.tobytes():
+                self.up = shorter
+
+
+def links_among(v: np.ndarray, copies: np.ndarray, side: np.ndarray | None, cosine: float, blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """(links, root) of each vector: among all, or between side 0 and side 1. A link counts as the partner's copies."""
+    n, dims = v.shape
+    u = unit(v.astype(np.float64))
+    r = u @ rotation(dims)
+    most = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
+    bounds = block_bounds(dims, blocks)
+    budget = np.array([most * (b - a) / dims for a, b in bounds])
+    # distance^2 of x and y in a block is the product of (x, |x|^2, 1) and (-2y, 1, |y|^2)
+    one = np.ones((n, 1))
+    square = [(r[:, a:b] ** 2).sum(axis=1)[:, None] for a, b in bounds]
+    left = [np.hstack((r[:, a:b], s, one)).astype(np.float32) for (a, b), s in zip(bounds, square)]
+    right = [np.hstack((-2 * r[:, a:b], one, s)).astype(np.float32) for (a, b), s in zip(bounds, square)]
+    two = side is not None
+    first = tiles_of(r, np.flatnonzero(side == 0) if two else np.arange(n))
+    second = tiles_of(r, np.flatnonzero(side == 1)) if two else first
+    cut = [a for a, _ in bounds]
+    box = lambda tiles: (np.stack([r[t].min(axis=0) for t in tiles]), np.stack([r[t].max(axis=0) for t in tiles]))
+    links, groups = np.zeros(n, np.int64), Groups(n)
+    if not first or not second:
+        return links, groups.up
+    (low, high), (low2, high2) = box(first), box(second)
+    for i, x in enumerate(first):
+        gap = np.maximum(0, np.maximum(low2 - high[i], low[i] - high2)) ** 2
+        apart = np.add.reduceat(gap, cut, axis=1)  # at least so far apart, by tile and block
+        for j in range(0 if two else i, len(second)):
+            y = second[j]
+            if apart[j].sum() > most:
+                continue
+            hit = np.zeros((len(x), len(y)), bool)
+            for k in np.flatnonzero(apart[j] <= budget).tolist():
+                hit |= left[k][x] @ right[k][y].T <= budget[k] + LOOSE
+            if not two and i == j:
+                hit = np.triu(hit, 1)
+            found = np.count_nonzero(hit)
+            if not found:
+                continue
+            if found <= FEW:
+                p, q = np.nonzero(hit)
+                a, b = x[p], y[q]
+                ok = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
+                a, b = a[ok], b[ok]
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+            else:
+                hit &= u[x] @ u[y].T >= cosine
+                dense = hit.astype(np.float64)
+                links[x] += (dense @ copies[y]).astype(np.int64)
+                links[y] += (dense.T @ copies[x]).astype(np.int64)
+                p, q = np.nonzero(hit)
+                a, b = x[p], y[q]
+            if len(a):
+                groups.join(a, b)
+    return links, groups.up
+
+
+def near_links(vectors: DataFrame, cosine: float = COSINE, blocks: int = BLOCKS, chunk_bytes: int = CHUNK_BYTES, halved: int = HALVED) -> DataFrame:
+    """vectors: (cls long, label string, v array, n copies). Returns (cls, links, root): the links of a class that one task
+    counted, and the class's root there; rows with links only. Written."""
+    size = F.size("v")
+    sizes = vectors.groupBy("label", size.alias("_dims")).agg(F.count("*").alias("_n"))
+    chunks = F.greatest(F.ceil(F.col("_n") * F.col("_dims") * 8 / chunk_bytes), F.least(F.lit(2), F.ceil(F.col("_n") / halved))).cast("int")
+    large = written(sizes.select(F.col("label").alias("_label"), "_dims", chunks.alias("_chunks")).filter("_chunks > 1"), "large-labels")
+    dealt = vectors.join(large, (F.col("label") == F.col("_label")) & (size == F.col("_dims")), "left").withColumn("_all", F.coalesce("_chunks", F.lit(1)))
     # Every pair of chunks is a task, and a chunk with itself; side 1 is the later chunk of two.
-    split = F.col("_chunks").isNotNull()
-    dealt = dealt.withColumn("_other", F.explode(F.when(split, F.sequence(F.lit(0), F.col("_chunks") - 1)).otherwise(F.array(F.lit(0)))))
-    task = F.when(split, F.xxhash64("key", F.least("_mine", "_other"), F.greatest("_mine", "_other"))).otherwise(F.col("key"))
-    side = F.when(split & (F.col("_mine") > F.col("_other")), 1).otherwise(0)
-    dealt = dealt.select(task.alias("task"), "cls", "raw", "n", "block", "dx", "dy", side.alias("side"), (split & (F.col("_mine") != F.col("_other"))).alias("two"))
+    dealt = dealt.withColumn("_mine", F.pmod(F.xxhash64("cls"), F.col("_all")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_all") - 1)))
+    task = F.xxhash64("label", size, F.least("_mine", "_other"), F.greatest("_mine", "_other"))
+    side = F.when(F.col("_mine") > F.col("_other"), 1).otherwise(0)
+    dealt = dealt.select(task.alias("task"), "cls", "label", "v", F.col("n").cast("long").alias("n"), side.alias("side"), (F.col("_mine") != F.col("_other")).alias("two"), size.alias("dims"))
 
     def compare(group: pa.Table):
-        n = group.num_rows
-        if n < 2:
-            return None
-        dims = len(group["raw"][0].as_py()) // width_of
-        u = _unit(group["raw"].combine_chunks(), dims, kind)
-        r = u @ rotation(dims)
-        cls, copies, side = (group[c].to_numpy() for c in ("cls", "n", "side"))
-        below = np.stack([group["dx"].to_numpy(), group["dy"].to_numpy()], axis=1)
-        block = group["block"][0].as_py()
-        spec = _budgets(dims, cosine, blocks)[: block + 1]
-        square = [(r[:, a:b] ** 2).sum(axis=1) for a, b, _ in spec]
-        two = group["two"][0].as_py()
-        first, second = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(n), np.arange(n))
-        links, forest = np.zeros(n, np.int64), Forest(n)
-
-        def square_of(a, b, c, d):
-            apart = r[a, c:d] - r[b, c:d]
-            return np.einsum("ij,ij->i", apart, apart)
-
-        for i in range(0, len(first), TILE):
-            x = first[i : i + TILE]
-            for j in range(0 if two else i, len(second), TILE):
-                y = second[j : j + TILE]
-
-                def within(k):
-                    a, b, budget = spec[k]
-                    return square[k][x][:, None] + square[k][y] - 2 * (r[x, a:b] @ r[y, a:b].T) <= budget
-
-                hit = within(block)
-                if not two and i == j:
-                    hit &= np.triu(np.ones(hit.shape, bool), 1)
-                found = np.count_nonzero(hit)
-                if not found:
-                    continue
-                if found <= FEW:  # most tiles: look at the pairs
-                    p, q = np.nonzero(hit)
-                    a, b = x[p], y[q]
-                    ok = np.minimum(below[a], below[b]).max(axis=1) == 0  # met in the smaller of the two cells
-                    for c, d, budget in spec[:block]:  # and in no earlier block
-                        ok &= square_of(a, b, c, d) > budget
-                    a, b = a[ok], b[ok]
-                    ok = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
-                    a, b = a[ok], b[ok]
-                    np.add.at(links, a, copies[b])
-                    np.add.at(links, b, copies[a])
-                    for m, o in zip(a.tolist(), b.tolist()):
-                        forest.join(m, o)
-                    continue
-                for c in range(2):
-                    hit &= np.minimum(below[x, c][:, None], below[y, c]) == 0
-                for k in range(block):
-                    hit &= ~within(k)
-                if not hit.any():
-                    continue
-                hit &= u[x] @ u[y].T >= cosine
-                links[x] += hit @ copies[y]
-                links[y] += hit.T @ copies[x]
-                for p in np.flatnonzero(hit.any(axis=1)).tolist():
-                    for q in y[hit[p]].tolist():
-                        forest.join(int(x[p]), q)
-        some = np.flatnonzero(links)
-        if not len(some):
+        if group.num_rows < 2:
             return None
-        root = np.array([forest.root(v) for v in some.tolist()])
-        return pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(links[some]), pa.array(cls[root])], names=["cls", "links", "root"])
-
-    found = written(by_group(dealt, "task", compare, "cls bigint, links bigint, root bigint", "cls"), "vector-links")
-    return found.groupBy("cls").agg(F.sum("links").alias("links")), found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))
-
-
-def _key(label: np.ndarray, dims: int, block: int, cell: np.ndarray) -> np.ndarray:
-    h = label.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(dims * 64 + block)
-    for c in range(cell.shape[1]):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + cell[:, c].astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-    return (h ^ (h >> np.uint64(32))).view(np.int64)
-
-
-def dedup_embeddings(table_: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", cosine: float = COSINE, blocks: int = BLOCKS, most: int = MOST) -> DataFrame:
+        # One task key is one label, length and pair of chunks, but for equal hashes.
+        kinds = group.select(["label", "dims", "two"]).group_by(["label", "dims", "two"]).aggregate([]).to_pylist()
+        out = []
+        for kind in kinds:
+            part = group
+            if len(kinds) > 1:
+                import pyarrow.compute as pc
+
+                for c, x in kind.items():
+                    part = part.filter(pc.equal(part[c], x))
+            v = part["v"].combine_chunks()
+            v = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v).flatten().to_numpy(zero_copy_only=False).reshape(-1, kind["dims"])
+            cls, copies = part["cls"].to_numpy(), part["n"].to_numpy()
+            links, root = links_among(v, copies, part["side"].to_numpy() if kind["two"] else None, cosine, blocks)
+            some = np.flatnonzero(links)
+            out.append(pa.RecordBatch.from_arrays([pa.array(cls[some]), pa.array(links[some]), pa.array(cls[root[some]])], names=["cls", "links", "root"]))
+        return out[0] if len(out) == 1 else pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+
+    return written(by_group(dealt, "task", compare, "cls bigint, links bigint, root bigint", "cls"), "vector-links")
+
+
+def dedup_embeddings(table_: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", cosine: float = COSINE, blocks: int = BLOCKS, chunk_bytes: int = CHUNK_BYTES, halved: int = HALVED) -> DataFrame:
     """Per row: id, n_links, component_id, kept."""
     small_batches(table_.sparkSession, 4096)
-    wide = F.col(vector_col).cast("array<double>")
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = F.col(label_col).isNotNull() & F.col(vector_col).isNotNull() & ~bad & F.exists(wide, lambda x: x != 0)
-    rows = table_.select(F.col(id_col).alias("id"), F.when(F.coalesce(usable, F.lit(False)), wide).alias("v"), F.col(label_col).alias("label"))
+    # Values that come as floats stay floats: half the bytes of doubles, without loss.
+    kind = "array<float>" if table_.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(vector_col).cast(kind)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.coalesce(F.col(label_col).isNotNull() & v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
+    rows = table_.select(F.col(id_col).alias("id"), F.when(usable, v).alias("v"), F.col(label_col).cast("string").alias("label"))
     # Rows that are equal in label and vector travel once. Their class is known by two hashes of both.
-    named = F.when(F.col("v").isNotNull(), F.xxhash64("v", F.col("label").cast("string"))), F.when(F.col("v").isNotNull(), F.hash("v", F.col("label").cast("string")))
+    named = [F.when(F.col("v").isNotNull(), h("v", "label")) for h in (F.xxhash64, F.hash)]
     rows = rows.withColumn("h1", named[0]).withColumn("h2", named[1])
-    classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("cls"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
-    classes = written(classes.withColumn("cls", F.coalesce("cls", F.col("h1"))), "vector-classes")
-
-    # Values that come as floats are floats again without loss, in half the bytes.
-    kind = "<f4" if table_.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-
-    def packed(batches):
-        for b in batches:
-            v = b.column("v")
-            raw = [np.asarray(x, kind).tobytes() for x in v.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("cls", "label", "n")), pa.array(raw, pa.binary())], names=["cls", "label", "n", "raw"])
-
-    label_type = classes.schema["label"].dataType.simpleString()
-    vectors = classes.select("cls", "label", "n", "v").mapInArrow(packed, f"cls bigint, label {label_type}, n bigint, raw binary")
-    links, forest = near_links(vectors, cosine, blocks, WIDE, most, kind)
-    found = components(forest).withColumnRenamed("id", "cls")
-    per_class = classes.select("h1", "h2", "cls", "n").join(links, "cls", "left").join(found, "cls", "left")
-    per_class = per_class.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "cls").alias("component"))
+    classes = rows.filter("h1 is not null").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label"))
+    classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "vector-classes")
+    found = near_links(classes.select("cls", "label", "n", "v"), cosine, blocks, chunk_bytes, halved)
+    group = components(found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cls")
+    links = found.groupBy("cls").agg(F.sum("links").alias("links"))
+    per_class = classes.select("h1", "h2", "cls", "least", "n").join(links, "cls", "left").join(group, "cls", "left")
+    first = per_class.filter("component is not null").groupBy("component").agg(F.min("least").alias("_first"))
+    per_class = per_class.join(first, "component", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("_first", "least").alias("component"))
     out = rows.select("id", "h1", "h2").join(per_class, ["h1", "h2"], "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 

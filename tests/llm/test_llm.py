@@ -70,43 +70,6 @@ def test_empty_tables(spark, name, tmp_path):
     assert QUERIES[name](spark, f"file://{tmp_path}").count() == 0
 
 
-# ---- 1
-
-def brute_vectors(rows, t=0.93):
-    n, links = len(rows), []
-    deg = [0] * n
-    for i in range(n):
-        for j in range(i):
-            a, b = rows[i][1], rows[j][1]
-            if rows[i][2] is None or rows[i][2] != rows[j][2] or not a or not b or len(a) != len(b):
-                continue
-            if any(x is None or not math.isfinite(x) for x in a + b):
-                continue
-            a, b = np.array(a), np.array(b)
-            if a.any() and b.any() and a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= t:
-                links.append((i, j))
-                deg[i] += 1
-                deg[j] += 1
-    return deg, unions(n, links)
-
-
-@pytest.mark.parametrize("most", [3000, 7])
-def test_near_vectors(spark, most):
-    rng = np.random.default_rng(1)
-    rows = []
-    for c in range(12):
-        center = rng.standard_normal(16)
-        for _ in range(9):
-            rows.append((len(rows), (center + rng.standard_normal(16) * rng.choice([0.05, 0.2, 0.3])).tolist(), c % 3))
-    rows += [(len(rows) + k, v, lab) for k, (v, lab) in enumerate([(None, 1), ([0.0] * 16, 1), ([float("nan")] * 16, 1), ([None] * 16, 1), (rows[0][1], 0), (rows[0][1], 0), (rows[0][1], None), ([2 * x for x in rows[0][1]], 0), ([1.0, 2.0], 0), ([2.0, 4.0], 0), ([], 0)])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embedding_dedup.dedup_embeddings(df, most=most).collect()}
-    deg, comp = brute_vectors(rows)
-    assert [got[i].n_links for i in range(len(rows))] == deg
-    assert [got[i].component_id for i in range(len(rows))] == comp
-    assert all(got[i].kept == (comp[i] == i) for i in range(len(rows)))
-
-
 # ---- 2
 
 def test_token_counts_equal_the_unigram_model(spark):
