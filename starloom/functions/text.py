@@ -117,22 +117,17 @@ def _jaro_winkler():
     """Made on first use: a session has to be there."""
 
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        seen: dict[tuple[str, str], float] = {}
+        from starloom.functions.similar import Field
+
         for x, y in pairs:
-            out = []
-            for pair in zip(x, y):
-                if pair not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen[pair] = jaro_winkler_one(*pair)
-                out.append(seen[pair])
-            yield pd.Series(out, dtype="float64")
+            both = Field([*x, *y])
+            yield pd.Series(both.similarity(both.of[: len(x)], both.of[len(x) :]), dtype="float64")
 
     return F.pandas_udf(run, "double")
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
-    """The only Python function of the engine; Arrow batches."""
+    """Arrow batches, scored as arrays."""
     return _jaro_winkler()(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
@@ -145,14 +140,3 @@ def similarity(a: Column, b: Column) -> Column:
 def match_score(pairs: list[tuple[Column, Column, float]]) -> Column:
     """Weighted sum of similarities, to six places."""
     return F.round(sum((similarity(a, b) * w for a, b, w in pairs), F.lit(0.0)), 6)
-
-
-def jaro_winkler_bound(a: Column, b: Column) -> Column:
-    """An upper bound from lengths and shared letters, without Python."""
-    a, b = (F.lower(F.trim(F.coalesce(x.cast("string"), F.lit("")))) for x in (a, b))
-    n, m = F.length(a), F.length(b)
-    letters = F.split(a, "")
-    shared = F.least(F.size(F.filter(letters, lambda x: (x != "") & (F.instr(b, x) > 0))), n, m)
-    shared = F.when(a.rlike(r"[\x{10000}-\x{10FFFF}]"), F.least(n, m)).otherwise(shared)  # split would cut such letters
-    jaro = F.when((n == 0) | (m == 0) | (shared == 0), F.when(n == m, 1.0).otherwise(0.0)).otherwise((shared / n + shared / m + 1) / 3)
-    return F.when(jaro > 0.7, jaro + 0.4 * (1 - jaro)).otherwise(jaro)

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from starloom.functions.dates import as_date, date_to_sk
 from starloom.functions.text import full_name, standardize_country, title_case
-from starloom.operators.lookup import broadcast_if_small
 from starloom.operators.screens import find_column
 from starloom.operators.surrogate import assign_keys
 from starloom.schemas import SCHEMAS, UNKNOWN
@@ -63,7 +62,7 @@ def dim_customer(customers: DataFrame, geography: DataFrame, effective: str = FI
         F.coalesce(code, standardize_country(pick(customers, "country"))).alias("country_code"), pick(customers, "phone").alias("phone"),
     )
     regions = geography.select(F.col("country_code").alias("_code"), F.col("region").alias("region_name"))
-    rows = rows.join(broadcast_if_small(regions), F.col("country_code") == F.col("_code"), "left")
+    rows = rows.join(regions, F.col("country_code") == F.col("_code"), "left")
     return _finish(_versioned(assign_keys(rows, "customer_sk", ["customer_nk"]), effective, audit_sk), "dim_customer")
 
 

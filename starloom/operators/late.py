@@ -17,16 +17,21 @@ def late_facts(facts: DataFrame, dim: DataFrame, lookup: Lookup) -> DataFrame:
 
 def late_dimension(dim: DataFrame, changes: DataFrame, nk: str, sk: str) -> tuple[DataFrame, DataFrame]:
     """changes: nk, effective_date in the past, and attributes. (dimension, moved): the version that covers the day ends the
-    day before it, a new one takes the rest of its window. moved: nk, old_sk, new_sk, first and last day, to repoint facts."""
+    day before it, a new one takes the rest of its window. Several changes within one version share its window out: each
+    lasts until the day before the next, and only the last can be current. Of changes of a key on the same day the
+    greatest by their attributes holds. moved: nk, old_sk, new_sk, first and last day, to repoint facts."""
     attributes = [c for c in changes.columns if c not in (nk, "effective_date")]
     late = changes.select(F.col(nk).alias("_nk"), F.col("effective_date").cast("date").alias("_day"), F.struct(*attributes).alias("_new"))
+    late = late.groupBy("_nk", "_day").agg(F.max("_new").alias("_new"))
     covers = (F.col(nk) == F.col("_nk")) & (F.col("effective_date") <= F.col("_day")) & (F.col("expiration_date").isNull() | (F.col("expiration_date") >= F.col("_day")))
     dim = written(dim, "late-dim")
-    hit = dim.join(late, covers).withColumn("_old", F.col(sk))
-    fresh = written(assign_keys(hit.drop(sk), sk, [nk, "_day"], max_key(dim, sk)), "late-new")
+    following = F.lead("_day").over(Window.partitionBy("_old").orderBy("_day"))
+    hit = dim.join(late, covers).withColumn("_old", F.col(sk)).withColumn("_next", following)
+    hit = hit.withColumns({"expiration_date": F.coalesce(F.date_sub("_next", 1), "expiration_date"), "is_current": F.col("is_current") & F.col("_next").isNull()})
+    fresh = written(assign_keys(hit.drop(sk), sk, [nk, "_day", "_old"], max_key(dim, sk)), "late-new")
     new_rows = fresh.select(*((F.col("_day") if c == "effective_date" else F.col(f"_new.{c}") if c in attributes else F.col(c)).alias(c) for c in dim.columns))
-    # a version that starts on that very day is replaced as a whole
-    cut = fresh.select(F.col("_old"), F.col("_day").alias("_cut"))
+    # cut once, at the first change; a version that starts on that very day is replaced as a whole
+    cut = fresh.groupBy("_old").agg(F.min("_day").alias("_cut"))
     old = dim.join(cut, dim[sk] == cut["_old"], "left").filter("_cut is null or effective_date < _cut")
     old = old.withColumn("expiration_date", F.when(F.col("_cut").isNotNull(), F.date_sub("_cut", 1)).otherwise(F.col("expiration_date"))).withColumn("is_current", F.col("is_current") & F.col("_cut").isNull())
     moved = fresh.select(F.col(nk).alias("nk"), F.col("_old").alias("old_sk"), F.col(sk).alias("new_sk"), F.col("_day").alias("first_day"), F.col("expiration_date").alias("last_day"))

@@ -1,4 +1,7 @@
-"""Natural key to surrogate key: by equality, or by the version that was valid on a day."""
+"""Natural key to surrogate key: by equality, or by the version that was valid on a day.
+
+Dimensions are stored tables, whose size Spark knows: it broadcasts those that are small in bytes, and joins the others by key.
+"""
 
 from __future__ import annotations
 
@@ -9,15 +12,6 @@ from pyspark.sql import functions as F
 
 from starloom.operators.surrogate import UNKNOWN
 
-#: Rows of a dimension (three or four narrow columns of each) up to which it is broadcast: some 10 MB.
-SMALL_DIMENSION = 200_000
-
-
-def broadcast_if_small(df: DataFrame, most: int = SMALL_DIMENSION) -> DataFrame:
-    """A broadcast hint, behind a count that stops at `most` rows; beyond it the join is left to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 class OverlapError(Exception):
     """Versions of a key overlap on a day that a fact has."""
 
@@ -66,7 +60,7 @@ def resolve_point_in_time(facts: DataFrame, dim: DataFrame | None, lookup: Looku
     spans = one_version_per_day(rows, lookup.nk, lookup.sk, lookup.effective, lookup.expiration)
     day = F.col(lookup.fact_date).try_cast("date")
     on = (F.col(lookup.fact_nk).cast("string") == F.col("_nk").cast("string")) & (F.col("_from") <= day) & (day <= F.col("_to"))
-    return facts.join(broadcast_if_small(spans), on, "left").withColumn(lookup.output, F.coalesce("_sk", F.lit(UNKNOWN)).cast("long")).drop("_nk", "_sk", "_from", "_to")
+    return facts.join(spans, on, "left").withColumn(lookup.output, F.coalesce("_sk", F.lit(UNKNOWN)).cast("long")).drop("_nk", "_sk", "_from", "_to")
 
 
 def resolve_type1(facts: DataFrame, dim: DataFrame | None, lookup: Lookup) -> DataFrame:
@@ -74,7 +68,7 @@ def resolve_type1(facts: DataFrame, dim: DataFrame | None, lookup: Lookup) -> Da
     if dim is None or lookup.fact_nk not in facts.columns:
         return facts.withColumn(lookup.output, F.lit(UNKNOWN).cast("long"))
     one = dim.filter(F.col(lookup.sk) != UNKNOWN).groupBy(F.col(lookup.nk).cast("string").alias("_nk")).agg(F.min(lookup.sk).alias("_sk"))
-    return facts.join(broadcast_if_small(one), F.col(lookup.fact_nk).cast("string") == F.col("_nk"), "left").withColumn(lookup.output, F.coalesce("_sk", F.lit(UNKNOWN)).cast("long")).drop("_nk", "_sk")
+    return facts.join(one, F.col(lookup.fact_nk).cast("string") == F.col("_nk"), "left").withColumn(lookup.output, F.coalesce("_sk", F.lit(UNKNOWN)).cast("long")).drop("_nk", "_sk")
 
 
 def resolve_batch(facts: DataFrame, dims: dict[str, DataFrame], lookups: list[Lookup]) -> DataFrame:

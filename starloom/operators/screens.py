@@ -142,9 +142,11 @@ def screen(df: DataFrame, rules: list[Rule], key: str | None = None, references:
             log.warning("rule %s: no column %s", rule.name, rule.column)
             continue
         if rule.kind == "unique":
-            over = Window.partitionBy(column)
-            n = F.row_number().over(over.orderBy(*names)) if rule.keep_first else F.count("*").over(over)
-            out = out.withColumn(f"_u{i}", n > 1)
+            if rule.keep_first:
+                out = out.withColumn(f"_u{i}", F.row_number().over(Window.partitionBy(column).orderBy(*names)) > 1)
+            else:  # counted before anything moves, so that a value with many rows, null say, stays spread
+                repeated = df.groupBy(F.col(column).alias(f"_v{i}")).agg(F.count("*").alias(f"_n{i}")).filter(F.col(f"_n{i}") > 1)
+                out = out.join(repeated, F.col(column).eqNullSafe(F.col(f"_v{i}")), "left").withColumn(f"_u{i}", F.col(f"_n{i}").isNotNull())
             checks = [(F.col(f"_u{i}"), "unique", F.col(column).cast("string"))]
         elif rule.kind == "referential":
             entity, _, target = (rule.references or "").partition(".")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.storage import exists, read_text, write_text, written
+from starloom.storage import exists, locked, read_text, write_text, written
 
 UNKNOWN = -1
 
@@ -28,7 +28,7 @@ def assign_keys(df: DataFrame, key: str, order: list[str | Column], offset: int
 
 
 class KeySequence:
-    """The last key given out for each dimension, in a file. Unreadable or absent files start afresh."""
+    """The last key given out for each dimension, in a file, changed under a lock. Unreadable or absent files start afresh."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -46,19 +46,29 @@ class KeySequence:
         """n new keys; one write for the whole block."""
         if n < 0:
             raise ValueError("n is negative")
-        known = self._load()
-        first = int(known.get(dim, 0)) + 1
-        known[dim] = first + n - 1
-        write_text(self.spark, self.path, json.dumps(known))
+        with locked(self.spark, self.path):
+            known = self._load()
+            first = int(known.get(dim, 0)) + 1
+            known[dim] = first + n - 1
+            write_text(self.spark, self.path, json.dumps(known))
         return range(first, first + n)
 
     def next(self, dim: str) -> int:
         return self.reserve(dim, 1)[0]
 
+    def at_least(self, dim: str, key: int) -> int:
+        """Notes that keys up to `key` are taken; returns the last key taken."""
+        with locked(self.spark, self.path):
+            known = self._load()
+            if key > int(known.get(dim, 0)):
+                known[dim] = int(key)
+                write_text(self.spark, self.path, json.dumps(known))
+        return int(known.get(dim, 0))
+
     def reset(self, dim: str | None = None) -> None:
-        known = self._load()
-        known = {k: v for k, v in known.items() if dim is not None and k != dim}
-        write_text(self.spark, self.path, json.dumps(known))
+        with locked(self.spark, self.path):
+            known = {k: v for k, v in self._load().items() if dim is not None and k != dim}
+            write_text(self.spark, self.path, json.dumps(known))
 
 
 def max_key(dim: DataFrame | None, key: str) -> int:

@@ -7,6 +7,7 @@ case or another): say, customers ending in 8 leave, those ending in 9 arrive.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,14 +17,15 @@ from starloom.functions import text
 from starloom.functions.dates import date_to_sk
 from starloom.operators import aggregate, audit, cdc, dedup, dims, fact, late, lookup, scd, screens, serve, survivorship, upsert
 from starloom.operators.screens import Rule
-from starloom.operators.standardize import Transform, geography, standardize
-from starloom.operators.surrogate import assign_keys
+from starloom.operators.standardize import Transform, geography, standardize, transforms_from_yaml
+from starloom.operators.surrogate import KeySequence, assign_keys
+from starloom.plans import warehouse
 from starloom.plans.star import SQL_CUSTOMERS, SQL_FACT, customer_history, dimensions, order_details, orders, table
-from starloom.sources.readers import read_csv, read_json
-from starloom.sources.sinks import DimensionStore, load_crc_index, produce_files, save_crc_index
+from starloom.sources.readers import latest_in, read_csv, read_json
+from starloom.sources.sinks import DimensionStore, load_crc_index, produce_files, produce_paced, save_crc_index, write_table
 from starloom.storage import new_path
 from starloom.streaming.events import decode, encode_orders, flatten
-from starloom.streaming.ingest import ingest, read_lines, sessions, tumbling_counts
+from starloom.streaming.ingest import ingest, latest_windows, read_lines, save_windows, sessions, tumbling_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,8 +48,8 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*(F.col(c).cast("double" if t.startswith("decimal") else kinds.get(t, t)).alias(c) for c, t in df.dtypes))
 
 
-def the_fact(spark: SparkSession, sf: str) -> DataFrame:
-    return fact.build_fact_sales(orders(spark, sf), order_details(spark, sf), dimensions(spark, sf))
+def the_fact(spark: SparkSession, sf: str, stored: dict[str, DataFrame] | None = None) -> DataFrame:
+    return fact.build_fact_sales(orders(spark, sf), order_details(spark, sf), stored or dimensions(spark, sf))
 
 
 # ---- facts and aggregates
@@ -61,14 +63,14 @@ MONTHLY = """a AS (
 
 @query(f"WITH {SQL_FACT}, {MONTHLY} SELECT * FROM a")
 def agg_sales_monthly(spark, sf):
-    days = dims.dim_date(spark, 1990, 2030)
-    return plain(aggregate.agg_sales_monthly(the_fact(spark, sf), days, customer_history(spark, sf)).drop("audit_sk"))
+    days, stored = dims.dim_date(spark, 1990, 2030), dimensions(spark, sf)
+    return plain(aggregate.agg_sales_monthly(the_fact(spark, sf, stored), days, stored["dim_customer"]).drop("audit_sk"))
 
 
 @query(f"WITH {SQL_FACT}, {MONTHLY.replace('WHERE is_current', '')} SELECT * FROM a")
 def agg_sales_monthly_all_versions(spark, sf):
-    days = dims.dim_date(spark, 1990, 2030)
-    return plain(aggregate.agg_sales_monthly(the_fact(spark, sf), days, customer_history(spark, sf), all_versions=True).drop("audit_sk"))
+    days, stored = dims.dim_date(spark, 1990, 2030), dimensions(spark, sf)
+    return plain(aggregate.agg_sales_monthly(the_fact(spark, sf, stored), days, stored["dim_customer"], all_versions=True).drop("audit_sk"))
 
 
 @query(f"WITH {SQL_FACT} SELECT * FROM f")
@@ -91,7 +93,7 @@ GROUP BY GROUPING SETS ((year), (year, quarter), (year, quarter, month), (year,
 def olap_grouping_sets(spark, sf):
     d = dimensions(spark, sf)
     days = dims.dim_date(spark).select("date_sk", "year", "quarter", "month")
-    rows = the_fact(spark, sf).join(days, F.col("order_date_sk") == F.col("date_sk")).join(d["dim_product"].select("product_sk", "category_name"), "product_sk")
+    rows = the_fact(spark, sf, d).join(days, F.col("order_date_sk") == F.col("date_sk")).join(d["dim_product"].select("product_sk", "category_name"), "product_sk")
     rows = rows.join(d["dim_customer"].select("customer_sk", "country_code"), "customer_sk")
     return plain(aggregate.olap_cube(rows))
 
@@ -475,6 +477,65 @@ def survivor_source(spark, sf):
     return survivorship.golden_records(_members(spark, sf), {"value": {"rule": "prefer_source", "priority": ["s2", "s0"]}}).select("cluster_id", "value")
 
 
+@query("SELECT user_id AS cluster_id, arg_max(event_type, length(event_type) * 1000000000 - event_id) AS event_type FROM events GROUP BY user_id")
+def survivor_unknown_rule(spark, sf):
+    """A rule that does not exist is the longest value, with a warning."""
+    return survivorship.golden_records(_members(spark, sf), {"event_type": {"rule": "no such rule"}}).select("cluster_id", "event_type")
+
+
+# ---- rules from files
+
+def _config(content: str) -> str:
+    """A file that only the driver reads."""
+    with tempfile.NamedTemporaryFile("w", suffix=".yaml", delete=False) as f:
+        f.write(content)
+    return f.name
+
+
+@query(f"""SELECT c_custkey, CASE trim({COUNTRY}) WHEN 'Germany' THEN 'DE' WHEN 'UK' THEN 'GB' ELSE trim({COUNTRY}) END AS code,
+CASE WHEN c_custkey % 4 = 1 THEN p WHEN c_nationkey % 4 = 0 THEN '+49-' || g WHEN c_nationkey % 4 = 1 THEN '+44-' || g ELSE g END AS phone
+FROM (SELECT *, {PHONE} AS p, regexp_replace({PHONE}, '[^0-9]', '', 'g') AS g FROM customer)""")
+def standardize_by_rules(spark, sf):
+    rules = _config("entities:\n  people:\n    - {column: country, transform: standardize_country, output_column: code}\n    - {column: phone, transform: standardize_phone, country_column: code}\n    - {column: absent, transform: title_case}\n")
+    return standardize(_contacts(spark, sf), transforms_from_yaml(rules, "people")).select("c_custkey", "code", "phone")
+
+
+@query(f"WITH {FOUND} SELECT id AS record_id, screen_name, severity FROM v WHERE screen_name IN ('not_null_o_orderkey', 'numeric_range_price', 'referential_o_custkey')")
+def screens_by_rules(spark, sf):
+    rules = _config(
+        "screens:\n  orders:\n    column_property:\n      - {column: o_orderkey, rule: not_null, severity: ERROR}\n      - {column: price, rule: numeric_range, min: 0}\n"
+        "    structure:\n      - {column: o_custkey, references: customer.c_custkey}\n"
+    )
+    found = screens.violations(screens.screen(_defects(spark, sf), screens.rules_from_yaml(rules, "orders"), "id", {"customer": table(spark, sf, "customer")}))
+    return found.select(F.col("record_id").cast("long").alias("record_id"), "screen_name", "severity")
+
+
+FEWER = "l_linenumber <= 3"
+DRIFTED = f"""SELECT 'reasonability.row_count' AS screen_name, 'WARN' AS severity, a || ' ± 20.0%' AS expected, b::VARCHAR AS actual FROM (SELECT count(*) AS a, count(*) FILTER ({FEWER}) AS b FROM lineitem)
+UNION ALL SELECT 'reasonability.column_mean', 'ERROR', printf('mean ≈ %.4f ± 10.0%%', a), printf('%.4f', b) FROM (SELECT round(avg(l_linenumber), 6) AS a, avg(l_linenumber) FILTER ({FEWER}) AS b FROM lineitem)"""
+
+
+@query(DRIFTED)
+def reasonability_events(spark, sf):
+    """Lines 1 to 3 of all orders against all lines."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    baseline, _ = screens.profile(lines)
+    rules = [screens.Drift("row_count"), screens.Drift("column_mean", "ERROR", None, 10.0, "L_LINENUMBER"), screens.Drift("column_mean", "ERROR", None, 10.0, "l_quantity")]
+    found = screens.drift_violations(baseline, *screens.profile(lines.filter(FEWER)), rules)
+    return spark.createDataFrame(found, "record_id string, screen_name string, severity string, column_name string, expected string, actual string").select("screen_name", "severity", "expected", "actual")
+
+
+@query(DRIFTED)
+def baseline_round_trip(spark, sf):
+    """The same through the stored baseline and rules from a file: one run over all lines, the next over lines 1 to 3."""
+    rules = _config("screens:\n  lines:\n    reasonability:\n      - {metric: row_count}\n      - {metric: column_mean, column: l_linenumber, tolerance_pct: 10, severity: ERROR}\n")
+    s = warehouse.Settings(new_path(spark, "baselines"), rules=rules)
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    warehouse.drift(spark, s, "lines", lines)
+    found = warehouse.drift(spark, s, "lines", lines.filter(FEWER))
+    return spark.createDataFrame(found, "record_id string, screen_name string, severity string, column_name string, expected string, actual string").select("screen_name", "severity", "expected", "actual")
+
+
 # ---- loading
 
 OLD_NEW = "a AS (SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 4 <> 0), b AS (SELECT c_custkey AS k, 'new' AS v FROM customer WHERE c_custkey % 3 = 0)"
@@ -524,6 +585,31 @@ def late_arriving_repoint(spark, sf):
     return late.repoint(facts, _late(spark, sf)[1], "customer_sk", "day").select("o_orderkey", "customer_sk")
 
 
+SEVERAL = ("1995-01-01", "1996-07-01", "1998-01-01", "1999-05-05")
+
+
+def _several(spark, sf):
+    """Customers ending in 7 change four times: within the first version, on the day the second one starts, and after it."""
+    days = F.explode(F.array(*map(F.lit, SEVERAL)))
+    changes = table(spark, sf, "customer").filter("c_custkey % 10 = 7").select(F.col("c_custkey").cast("string").alias("customer_nk"), days.alias("effective_date"))
+    return late.late_dimension(customer_history(spark, sf), changes.withColumn("company_name", F.concat(F.lit("from "), "effective_date")), "customer_nk", "customer_sk")
+
+
+@query(f"""WITH {SQL_CUSTOMERS}, z AS (SELECT c_custkey::VARCHAR AS nk, d::DATE AS d FROM customer, (VALUES {', '.join(f"('{d}')" for d in SEVERAL)}) t(d) WHERE c_custkey % 10 = 7),
+b AS (SELECT customer_nk, company_name, effective_date FROM dc WHERE NOT EXISTS (SELECT 1 FROM z WHERE z.nk = dc.customer_nk AND z.d = dc.effective_date) UNION ALL SELECT nk, 'from ' || d, d FROM z),
+e AS (SELECT *, lead(effective_date) OVER (PARTITION BY customer_nk ORDER BY effective_date) - 1 AS expiration_date FROM b) SELECT *, expiration_date IS NULL AS is_current FROM e""")
+def late_arriving_several(spark, sf):
+    return _several(spark, sf)[0].select("customer_nk", "company_name", "effective_date", "expiration_date", "is_current")
+
+
+@query("SELECT 0::BIGINT AS faults, 0::BIGINT AS repeated")
+def late_arriving_keys(spark, sf):
+    """Versions still follow each other and no surrogate key is given twice."""
+    dim = _several(spark, sf)[0]
+    faults = scd.version_faults(dim, "customer_nk", "customer_sk").agg(F.count("*").alias("faults"))
+    return faults.crossJoin(dim.agg((F.count("*") - F.count_distinct("customer_sk")).alias("repeated")))  # one row each
+
+
 @query("SELECT l_orderkey, l_suppkey, 1.0::DOUBLE / count(*) OVER (PARTITION BY l_orderkey) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
 def bridge_weights(spark, sf):
     return late.bridge(table(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
@@ -538,12 +624,53 @@ def fx_conform(spark, sf):
 
 # ---- serving
 
-@query(f"WITH {SQL_CUSTOMERS} SELECT customer_sk, customer_nk, trim(country_code) AS country_code FROM dc")
-def staging_views(spark, sf):
-    padded = dimensions(spark, sf)["dim_customer"].withColumn("country_code", F.rpad("country_code", 20, " "))
-    tables = {"dim_customer": padded.select("customer_sk", "customer_nk", "country_code").unionByName(spark.sql("SELECT -1L AS customer_sk, 'UNKNOWN' AS customer_nk, 'ZZ' AS country_code"))}
-    serve.register_views(spark, tables)
-    return spark.sql("SELECT customer_sk, customer_nk, country_code FROM stg_customers")
+def _marts(spark, sf) -> dict[str, DataFrame]:
+    """The warehouse's tables with padded codes and unknown members; every fifth product and supplier is an old version."""
+    k, s = F.col("s_suppkey"), table(spark, sf, "supplier")
+    customers = customer_history(spark, sf).withColumn("country_code", F.rpad("country_code", 20, " "))
+    products = table(spark, sf, "part").select(
+        (F.col("p_partkey") + 1).alias("product_sk"), F.col("p_partkey").alias("product_nk"), F.col("p_name").alias("product_name"), F.rpad(F.lit("US"), 5, " ").alias("supplier_country"),
+        F.col("p_retailprice").alias("unit_price"), (F.col("p_partkey") % 5 != 0).alias("is_current"),
+    )
+    employees = s.select((k + 1).alias("employee_sk"), k.alias("employee_nk"), F.col("s_name").alias("full_name"), F.floor(k / 2).alias("reports_to_nk"), F.lit("GB ").alias("country_code"), (k % 5 != 0).alias("is_current"))
+    return {
+        "dim_customer": customers.unionByName(spark.sql("SELECT -1L AS customer_sk, 'UNKNOWN' AS customer_nk, 'ZZ' AS country_code, true AS is_current"), allowMissingColumns=True),
+        "dim_product": products.unionByName(spark.sql("SELECT -1L AS product_sk, true AS is_current"), allowMissingColumns=True),
+        "dim_employee": employees.unionByName(spark.sql("SELECT -1L AS employee_sk, true AS is_current"), allowMissingColumns=True),
+        "dim_shipper": s.select((k + 1).alias("shipper_sk"), k.alias("shipper_nk"), F.col("s_name").alias("company_name")).unionByName(spark.sql("SELECT -1L AS shipper_sk"), allowMissingColumns=True),
+        "dim_geography": dims.with_unknown(geography(spark), "dim_geography").withColumn("country_code", F.rpad("country_code", 4, " ")),
+        "dim_date": dims.dim_date(spark, 1995, 1996, sentinel=True),
+        "fact_sales": the_fact(spark, sf),
+    }
+
+
+def _staged(name: str, columns: str, sql: str):
+    def run(spark, sf):
+        serve.register_views(spark, _marts(spark, sf))
+        return plain(spark.sql(f"SELECT {columns} FROM {name}"))
+
+    query(sql, "staging_views" if name == "stg_customers" else name.replace("stg_", "staging_"))(run)
+
+
+_staged("stg_customers", "customer_sk, customer_code, country_code", f"WITH {SQL_CUSTOMERS} SELECT customer_sk, customer_nk AS customer_code, trim(country_code) AS country_code FROM dc WHERE is_current")
+_staged("stg_products", "product_sk, product_code, supplier_country_code, unit_price", "SELECT p_partkey + 1 AS product_sk, p_partkey AS product_code, 'US' AS supplier_country_code, p_retailprice AS unit_price FROM part WHERE p_partkey % 5 <> 0")
+_staged("stg_employees", "employee_sk, employee_code, reports_to_code, country_code", "SELECT s_suppkey + 1 AS employee_sk, s_suppkey AS employee_code, s_suppkey // 2 AS reports_to_code, 'GB' AS country_code FROM supplier WHERE s_suppkey % 5 <> 0")
+_staged("stg_shippers", "shipper_sk, shipper_code, company_name", "SELECT s_suppkey + 1 AS shipper_sk, s_suppkey AS shipper_code, s_name AS company_name FROM supplier")
+_staged("stg_geography", "geography_sk, country_code, primary_currency", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{c[0]}', '{c[4]}')" for i, c in enumerate(sorted(text.COUNTRIES), 1)) + ") t(geography_sk, country_code, primary_currency)")
+_staged("stg_dates", "date_sk, full_date", "SELECT strftime(d, '%Y%m%d')::INT AS date_sk, d::DATE AS full_date FROM generate_series(DATE '1995-01-01', DATE '1996-12-31', INTERVAL 1 DAY) t(d)")
+_staged("stg_sales", "order_id, line_number, net_amount", f"WITH {SQL_FACT} SELECT order_id, line_number, net_amount FROM f")
+
+
+@query(f"""WITH {SQL_FACT}, c AS (SELECT count(*) FILTER (order_id % 50 = 0) AS n, count(*) FILTER (order_id % 40 = 0) AS s, count(*) FILTER (order_id % 60 = 0) AS q FROM f)
+SELECT * FROM (SELECT 'fact_sales' AS table_name, 'not_null_customer_sk' AS screen_name, 'customer_sk' AS column_name, n FROM c UNION ALL SELECT 'stg_sales', 'not_null_customer_sk', 'customer_sk', n FROM c
+UNION ALL SELECT 'fact_sales', 'referential_shipper_sk', 'shipper_sk', s FROM c UNION ALL SELECT 'stg_sales', 'expression_quantity', 'quantity', q FROM c
+UNION ALL SELECT 'dim_shipper', 'unique_shipper_sk', 'shipper_sk', 2) WHERE n > 0""")
+def mart_tests(spark, sf):
+    """Facts with injected defects and a shipper that is there twice, against the rules of the delivered tables."""
+    k, f = F.col("order_id"), the_fact(spark, sf)
+    broken = f.withColumns({"customer_sk": F.when(k % 50 != 0, F.col("customer_sk")), "shipper_sk": F.when(k % 40 == 0, 99).otherwise(F.col("shipper_sk")), "quantity": F.when(k % 60 == 0, -1).otherwise(F.col("quantity"))})
+    shippers = spark.sql("SELECT * FROM VALUES (-1L, -1), (1L, 1), (2L, 2), (3L, 3), (3L, 4) t(shipper_sk, shipper_nk)")
+    return serve.mart_faults({"dim_customer": customer_history(spark, sf), "dim_shipper": shippers, "fact_sales": broken}, {n: r for n, r in serve.mart_rules().items() if n != "stg_shippers"})
 
 
 @query("SELECT c_custkey AS customer_sk, c_name AS company_name, '***-****' AS phone_masked FROM customer")
@@ -592,6 +719,16 @@ def source_csv(spark, sf):
     return read_csv(spark, path, TYPED, header=False)
 
 
+@query("SELECT c_custkey::VARCHAR AS c_custkey, c_name FROM customer")
+def source_csv_strings(spark, sf):
+    """The later of two snapshots, without a schema: all strings, and a header with blanks around its names."""
+    folder, c = new_path(spark, "raw"), table(spark, sf, "customer")
+    lines = spark.sql("SELECT 0 AS k, ' c_custkey , c_name' AS value").unionByName(c.select((F.col("c_custkey") + 1).alias("k"), F.concat_ws(",", "c_custkey", "c_name").alias("value")))
+    lines.limit(0).select("value").write.text(f"{folder}/2024-01-01-000000/customers.csv")
+    lines.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(f"{folder}/2024-01-02-000000/customers.csv")
+    return read_csv(spark, f"{latest_in(spark, folder)}/customers.csv")
+
+
 @query("SELECT n_nationkey, n_name FROM nation")
 def source_json(spark, sf):
     """The nations as one JSON array, as a REST source would send them."""
@@ -600,6 +737,24 @@ def source_json(spark, sf):
     return read_json(spark, path, "n_nationkey INT, n_name STRING")
 
 
+@query("SELECT format('cluster_{:06d}', dense_rank() OVER (ORDER BY s_suppkey // 20)) AS cluster_id, s_suppkey AS nk FROM supplier")
+def cluster_map(spark, sf):
+    """Clusters stored twice at one place, the second time from what is there, and read back."""
+    path = f"{new_path(spark, 'clusters')}/suppliers"
+    write_table(dedup_exact(spark, sf), path)
+    write_table(spark.read.parquet(path), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT * FROM (VALUES ('first', 1::BIGINT), ('block', 2), ('after', 7), ('noted', 101), ('other', 1)) t(step, sk)")
+def key_sequence(spark, sf):
+    keys = KeySequence(spark, f"{new_path(spark, 'keys')}.json")
+    steps = [("first", keys.next("d")), ("block", keys.reserve("d", 5)[0]), ("after", keys.next("d"))]
+    keys.at_least("d", 100)
+    keys.at_least("d", 50)
+    return spark.createDataFrame([*steps, ("noted", keys.next("d")), ("other", keys.next("e"))], "step string, sk long")
+
+
 @query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT -1, 'Unknown'")
 def publish_dimension(spark, sf):
     store = DimensionStore(spark, new_path(spark, "published"))
@@ -648,19 +803,39 @@ def event_envelope(spark, sf):
     return flatten(decode(encode_orders(orders(spark, sf), event_type="ORDER_UPDATED")), ["OrderID"]).select("OrderID", "event_type")
 
 
+@query("SELECT o_orderkey::VARCHAR AS key FROM orders ORDER BY o_orderkey LIMIT 7")
+def stream_limit(spark, sf):
+    return encode_orders(orders(spark, sf).orderBy("orderID"), limit=7).select("key")
+
+
+@query("SELECT o_orderkey::VARCHAR AS \"OrderID\" FROM orders WHERE o_orderkey % 4 = 0")
+def stream_paced(spark, sf):
+    """A quarter of the orders sent in four batches, read back as a table."""
+    folder, o = new_path(spark, "paced"), orders(spark, sf).filter("orderID % 4 = 0")
+    sent = produce_paced(encode_orders(o), lambda batch: produce_files(batch, folder), -(-o.count() // 4), 0.0)
+    return flatten(decode(spark.read.text(folder)), ["OrderID"]).select("OrderID").limit(sent)
+
+
+@query("SELECT o_orderkey::VARCHAR AS orderid, o_custkey::VARCHAR AS customerid FROM orders")
+def stream_reaches_clean(spark, sf):
+    """Even orders from a raw snapshot, odd ones from the stream's table, through the clean phase."""
+    s, o = warehouse.Settings(new_path(spark, "etl")), orders(spark, sf).select("orderID", "customerID")
+    lines = spark.sql("SELECT -1L AS k, 'orderID,customerID' AS value").unionByName(o.filter("orderID % 2 = 0").select(F.col("orderID").alias("k"), F.concat_ws(",", "orderID", "customerID").alias("value")))
+    lines.repartitionByRange(1, "k").sortWithinPartitions("k").select("value").write.text(s.path("raw", s.system, "2024-01-01-000000", "orders.csv"))
+    streamed = flatten(decode(encode_orders(o.filter("orderID % 2 = 1"))), ["OrderID", "CustomerID"]).select("OrderID", "CustomerID")
+    warehouse.run_pipeline(spark, s, "b1", only="clean", streamed_orders=streamed)
+    out = warehouse.cleaned(spark, s)["orders"]
+    return out.toDF(*(c.lower() for c in out.columns)).select("orderid", "customerid")
+
+
 @query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_window_counts(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events.parquet").load(sf)
-    name = f"windows_{abs(hash(new_path(spark, 'w')))}"
     out = new_path(spark, "windows")
-
-    def save(batch, _):
-        batch.write.mode("overwrite").parquet(out)
-
-    counts = tumbling_counts(stream, "ts", "event_type", "1 hour")
-    counts.writeStream.queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "windows-state")).trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
-    return spark.read.parquet(out).select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+    save_windows(tumbling_counts(stream, "ts", "event_type", "1 hour"), out, new_path(spark, "windows-state")).awaitTermination()
+    latest = latest_windows(spark, out, ["window_start", "event_type"])
+    return latest.select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.operators.standardize import geography
+from starloom.storage import written
 
 #: Country names that orders are shipped to, by key.
 SHIP_COUNTRIES = ("Germany", "France", "USA", "Brasil", "Holland", "Freedonia")
@@ -49,7 +50,8 @@ def dimensions(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
         F.lit("1900-01-01").cast("date").alias("effective_date"), F.lit(None).cast("date").alias("expiration_date"), F.lit(True).alias("is_current"),
     )
     shippers = spark.range(1, 4).select(F.col("id").alias("shipper_sk"), F.col("id").cast("string").alias("shipper_nk"))
-    return {"dim_customer": customer_history(spark, sf), "dim_product": part, "dim_shipper": shippers, "dim_geography": geography(spark)}
+    made = {"dim_customer": customer_history(spark, sf), "dim_product": part, "dim_shipper": shippers, "dim_geography": geography(spark)}
+    return {name: written(df, name) for name, df in made.items()}  # stored, as a warehouse's dimensions are
 
 
 #: The same in DuckDB's SQL, as common table expressions.

@@ -17,16 +17,18 @@ from starloom.operators import audit, dedup, dims, screens, serve, standardize,
 from starloom.operators.aggregate import agg_sales_monthly
 from starloom.operators.fact import build_fact_sales
 from starloom.operators.scd import apply_scd
+from starloom.operators.surrogate import KeySequence, max_key
 from starloom.operators.upsert import insert_replace, new_rows
 from starloom.schemas import KEYS, TRACKED
 from starloom.sources.fetch import CsvExtractor, ExtractError, JsonExtractor, snapshot_name
 from starloom.sources.readers import latest_in, read_csv, read_parquet_or_none
-from starloom.sources.sinks import DimensionStore, append_error_events, write_run, write_table
+from starloom.sources.sinks import DimensionStore, append_error_events, append_error_events_jdbc, restore_table, write_run, write_table
 from starloom.storage import children, exists, read_text, write_text, written
 
 log = logging.getLogger(__name__)
 
 PHASES = ("extract", "clean", "conform", "deliver")
+# The entities of the data set and their keys.
 ENTITIES = ("customers", "orders", "order-details", "products", "employees", "suppliers", "categories", "shippers", "territories", "employee-territories")
 PRIMARY_KEYS = {
     "customers": "CustomerID", "orders": "OrderID", "order-details": None, "products": "ProductID", "employees": "EmployeeID", "suppliers": "SupplierID",
@@ -50,6 +52,7 @@ class Settings:
     first_year: int = 1990
     last_year: int = 2030
     system: str = "northwind"
+    error_database: tuple[str, dict[str, str]] | None = None  # JDBC URL and properties; error events go there as well
 
     def path(self, *parts: str) -> str:
         return "/".join([self.root.rstrip("/"), *parts])
@@ -103,7 +106,7 @@ def extract(spark: SparkSession, s: Settings, batch: str, get: Callable[[str], b
     snapshot, rows, failed = snapshot_name(), 0, []
     for name, spec in load_sources(s.sources).items():
         kind = CsvExtractor if spec["type"] == "http_csv" else JsonExtractor
-        e = kind(name, s.path("raw", name), **({"get": get} if get else {}))
+        e = kind(name, s.path("raw", name), spark=spark, **({"get": get} if get else {}))
         files = [(f"{spec['base_url'].rstrip('/')}/{f}", f) for f in spec["files"]] if spec["type"] == "http_csv" else [(spec["url"], f"{name}.json")]
         for url, file in files:
             try:
@@ -135,7 +138,10 @@ def clean(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Data
         if drifts:
             v = v.unionByName(spark.createDataFrame(drifts, v.schema))
         fatal = screens.has_fatal(screened) or any(d[2] == "FATAL" for d in drifts)
-        append_error_events(screens.error_events(v, batch, s.system, name, with_info=fatal), s.path("error", "events"))
+        events = screens.error_events(v, batch, s.system, name, with_info=fatal)
+        append_error_events(events, s.path("error", "events"))
+        if s.error_database:
+            append_error_events_jdbc(events, s.error_database[0], "error_events", s.error_database[1])
         if fatal:
             return {"status": "FATAL", "stopped_at": name, "rows": counts}
         write_table(screens.clean_rows(screened, keyed=key is not None), s.path("staging", "cleaned", name))
@@ -200,11 +206,14 @@ def deliver(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Da
         return store.latest(name) if store.versions(name) else entities.get(name)
 
     def save(name: str, df: DataFrame) -> DataFrame:
-        whole = written(df, name)  # the new table may read the old one
-        write_table(whole, s.path("warehouse", name))
-        rows[name] = whole.count()
-        return spark.read.parquet(s.path("warehouse", name))
-
+        write_table(df, s.path("warehouse", name))
+        stored = spark.read.parquet(s.path("warehouse", name))
+        rows[name] = stored.count()
+        return stored
+
+    for name in (*KEYS, "dim_audit", "dim_date", "fact_sales", "agg_sales_monthly"):
+        restore_table(spark, s.path("warehouse", name))
+    sequence = KeySequence(spark, s.path("warehouse", "_meta", "keys.json"))  # a key is never given twice, whatever became of its row
     audits = read_parquet_or_none(spark, s.path("warehouse", "dim_audit"))
     mine = read_parquet_or_none(spark, s.path("warehouse", "dim_audit_batch", batch))
     audit_sk = 1 + max(0, (audits.agg(F.max("audit_sk")).first()[0] or 0) if audits is not None else 0)
@@ -227,15 +236,17 @@ def deliver(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Da
             sk, nk = KEYS[dim]
             fresh = build(source)
             old = read_parquet_or_none(spark, s.path("warehouse", dim))
+            taken = sequence.at_least(dim, max_key(old, sk))
             if old is None:
-                tables[dim] = save(dim, dims.with_unknown(fresh, dim))
+                tables[dim] = save(dim, dims.with_unknown(fresh.withColumn(sk, F.col(sk) + taken), dim))
             elif dim in TRACKED:
                 type2, type1 = TRACKED[dim]
-                new, changes = apply_scd(fresh, old, nk, sk, type2, type1, later)
+                new, changes = apply_scd(fresh, old, nk, sk, type2, type1, later, first_key=taken + 1)
                 changes.write.mode("append").parquet(s.path("warehouse", f"{dim}_log"))
                 tables[dim] = save(dim, new)
             else:
-                tables[dim] = save(dim, old.unionByName(new_rows(old, fresh.withColumn(sk, F.col(sk) + (old.agg(F.max(sk)).first()[0] or 0)), [nk])))
+                tables[dim] = save(dim, old.unionByName(new_rows(old, fresh.withColumn(sk, F.col(sk) + taken), [nk])))
+            sequence.at_least(dim, max_key(tables[dim], sk))
         except Exception as e:
             log.exception("%s", dim)
             errors.append(f"{dim}: {e}")
@@ -252,6 +263,9 @@ def deliver(spark: SparkSession, s: Settings, batch: str, entities: dict[str, Da
         errors.append(f"facts: {e}")
     faults = serve.conformance_faults(tables, {k: v for k, v in KEYS.items() if k in tables})
     bad = [f"{r['dim']}.{r['check']}: {r['n']}" for r in faults.filter("n > 0").collect()] if faults is not None else []
+    stored = tables | {t: spark.read.parquet(s.path("warehouse", t)) for t in ("fact_sales",) if t in rows}
+    tested = serve.mart_faults(stored)  # a handful of counts
+    bad += [f"{r['table_name']}.{r['screen_name']}: {r['n']}" for r in tested.collect()] if tested is not None else []
     return {"rows": rows, "errors": errors, "faults": bad, "status": "PARTIAL" if errors else "SUCCESS"}
 
 

@@ -13,6 +13,10 @@ from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 
+from pyspark.sql import SparkSession
+
+from starloom import storage
+
 
 class ExtractError(Exception):
     """A source could not be read."""
@@ -61,17 +65,33 @@ def with_retry(get: Callable[[], bytes], attempts: int = 3, first_wait: float =
 
 @dataclass
 class Extractor:
-    """Base of extractors. A snapshot is a folder; files appear in it complete, under their own name."""
+    """Base of extractors. A snapshot is a folder; files appear in it complete, under their own name. With a session they land
+    through Hadoop's file systems, wherever Spark reads; without one on local disk."""
 
     source: str
     target: str
     get: Callable[[str], bytes] = http_get
     sleep: Callable[[float], None] = time.sleep
+    spark: SparkSession | None = None
 
     def check(self, content: bytes) -> int:
         """Rows of valid content; raises ExtractError if it is not valid."""
         raise NotImplementedError
 
+    def _write(self, path: str, content: bytes) -> None:
+        if self.spark is not None:
+            storage.write_bytes(self.spark, path, content)
+            return
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        part = Path(f"{path}.tmp")
+        part.write_bytes(content)
+        part.replace(path)
+
+    def _read(self, path: str) -> str | None:
+        if self.spark is not None:
+            return storage.read_text(self.spark, path) if storage.exists(self.spark, path) else None
+        return Path(path).read_text() if Path(path).exists() else None
+
     def land(self, url: str, name: str, snapshot: str | None = None, fallback: str | None = None) -> Extracted:
         used = False
         try:
@@ -82,16 +102,12 @@ class Extractor:
                 raise
             content, used = Path(fallback).read_bytes(), True
             rows = self.check(content)
-        folder = Path(self.target) / (snapshot or snapshot_name())
-        folder.mkdir(parents=True, exist_ok=True)
-        path, part = folder / name, folder / f"{name}.tmp"
-        part.write_bytes(content)
-        part.replace(path)
-        out = Extracted(self.source, str(path), rows, len(content), hashlib.sha256(content).hexdigest(), used)
-        manifest = folder / "_manifest.json"
-        known = json.loads(manifest.read_text()) if manifest.exists() else {"source": self.source, "files": {}}
+        folder = f"{str(self.target).rstrip('/')}/{snapshot or snapshot_name()}"
+        self._write(f"{folder}/{name}", content)
+        out = Extracted(self.source, f"{folder}/{name}", rows, len(content), hashlib.sha256(content).hexdigest(), used)
+        known = json.loads(self._read(f"{folder}/_manifest.json") or json.dumps({"source": self.source, "files": {}}))
         known["files"][name] = {k: v for k, v in asdict(out).items() if k != "source"}
-        manifest.write_text(json.dumps(known, indent=1, sort_keys=True))
+        self._write(f"{folder}/_manifest.json", json.dumps(known, indent=1, sort_keys=True).encode())
         return out
 
 

@@ -16,12 +16,14 @@ def header_schema(spark: SparkSession, path: str) -> StructType:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, skip_malformed: bool = True, header: bool = True) -> DataFrame:
-    """CSV with a header, malformed rows skipped, the text NULL as null. Without a schema all columns are strings.
+    """CSV with a header, malformed rows skipped, the text NULL as null. Without a schema all columns are strings, named as in
+    the header without surrounding blanks.
 
     The schema is always explicit and whole: with column pruning other rows could count as malformed.
     """
     mode = "DROPMALFORMED" if skip_malformed else "PERMISSIVE"
-    return spark.read.csv(path, schema=schema or header_schema(spark, path), header=header, mode=mode, nullValue="NULL", enforceSchema=not header)
+    rows = spark.read.csv(path, schema=schema or header_schema(spark, path), header=header, mode=mode, nullValue="NULL", enforceSchema=not header)
+    return rows if schema else rows.toDF(*(c.strip() for c in rows.columns))
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import logging
+import time
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from starloom.storage import children, exists, move, read_text, write_text
+from starloom.operators.surrogate import assign_keys
+from starloom.storage import children, exists, move, read_text, remove, write_text, written
+
+log = logging.getLogger(__name__)
 
 
 class PublishError(Exception):
@@ -51,13 +58,48 @@ class DimensionStore:
 
 
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
-    df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
+    """A table at path. Overwriting writes the new one beside it and then swaps folders: df may read the old table, and a crash
+    on the way leaves a whole one, which restore_table() puts back if need be."""
+    if mode != "overwrite":
+        df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
+        return
+    spark = df.sparkSession
+    folder, _, name = path.rstrip("/").rpartition("/")
+    part, old = f"{folder}/.{name}-{uuid.uuid4().hex}", f"{folder}/.old-{name}"
+    df.write.partitionBy(*(partition_by or [])).parquet(part)
+    restore_table(spark, path)
+    if exists(spark, path):
+        move(spark, path, old)
+    move(spark, part, path)
+    remove(spark, old)
+
+
+def restore_table(spark: SparkSession, path: str) -> None:
+    """After a crash between the two renames of write_table the old table has another name: gives it back its own."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    old = f"{folder}/.old-{name}"
+    if not exists(spark, old):
+        return
+    if exists(spark, path):
+        remove(spark, old)
+    else:
+        move(spark, old, path)
 
 
 def append_error_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def append_error_events_jdbc(events: DataFrame, url: str, table: str, properties: dict[str, str]) -> bool:
+    """Error events to a database as well; a database that fails is logged and does not stop the run. True if written."""
+    try:
+        write_jdbc(events, url, table, properties)
+    except Exception as e:
+        log.warning("error events not written to %s: %s", table, str(e).splitlines()[0] if str(e) else type(e).__name__)
+        return False
+    return True
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], mode: str = "append", batch_size: int = 1000) -> None:
     df.write.option("batchsize", batch_size).jdbc(url, table, mode=mode, properties=properties)
 
@@ -81,11 +123,31 @@ def write_run(spark: SparkSession, folder: str, batch: str, run: dict) -> None:
     write_text(spark, f"{folder}/{batch}.json", json.dumps(run, indent=1, default=str))
 
 
-def produce_kafka(events: DataFrame, servers: str, topic: str) -> None:
-    """Events (key, value) to a topic. Needs Spark's Kafka package on the class path."""
-    events.selectExpr("cast(key as string) as key", "cast(value as string) as value").write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+def produce_kafka(events: DataFrame, servers: str, topic: str) -> int:
+    """Events (key, value) to a topic; returns how many the job has delivered. Needs Spark's Kafka package on the class path."""
+    seen = Observation()
+    rows = events.selectExpr("cast(key as string) as key", "cast(value as string) as value").observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    return int(seen.get["n"])
+
 
+def produce_files(events: DataFrame, folder: str) -> int:
+    """Events (value) as JSON lines, for streams over files; returns how many were written."""
+    seen = Observation()
+    events.select("value").observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").text(folder)
+    return int(seen.get["n"])
 
-def produce_files(events: DataFrame, folder: str) -> None:
-    """Events (value) as JSON lines, for streams over files."""
-    events.select("value").write.mode("append").text(folder)
+
+def produce_paced(events: DataFrame, send: Callable[[DataFrame], int], per_batch: int, seconds: float, sleep: Callable[[float], None] = time.sleep) -> int:
+    """Sends events in batches of `per_batch`, in the order of their key, with a pause after each but the last. Returns how many were sent.
+
+    send: produce_files or produce_kafka with their target bound. The events are written once, so that all batches see the same ones.
+    """
+    numbered = written(assign_keys(events, "_number", ["key"]), "paced")
+    whole, sent = numbered.count(), 0
+    for first in range(0, whole, per_batch):
+        if first:
+            sleep(seconds)
+        sent += send(numbered.filter((F.col("_number") > first) & (F.col("_number") <= first + per_batch)).drop("_number"))
+        log.info("sent %d of %d", sent, whole)
+    return sent

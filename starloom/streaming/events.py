@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Names on the wire.
 TYPES = ("ORDER_CREATED", "ORDER_UPDATED", "ORDER_DELETED")
 ENVELOPE = "event_id STRING, event_timestamp TIMESTAMP, event_type STRING, payload MAP<STRING, STRING>, source STRING"
 

@@ -37,13 +37,31 @@ def ingest(lines: DataFrame, output: str, checkpoint: str, columns: list[str] |
 
 
 def tumbling_counts(events: DataFrame, time: str = "event_timestamp", key: str = "event_type", width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Counts by window and key; timestamps without a zone are read as UTC. The watermark bounds the state."""
+    """Counts by window and key; timestamps without a zone are read as UTC. On a stream in update or append mode the watermark bounds the state."""
     rows = events.withColumn("_t", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("_t", late) if rows.isStreaming else rows
     window = F.window("_t", width, slide) if slide else F.window("_t", width)
     return rows.groupBy(window.alias("w"), key).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), key, "n")
 
 
+def save_windows(counts: DataFrame, output: str, checkpoint: str, once: bool = True, seconds: int = 30) -> StreamingQuery:
+    """Starts a stream of tumbling_counts into output: each batch writes the windows it changed to a folder of its own, so a batch
+    that runs again writes the same. State holds only windows that the watermark has not passed."""
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={number}")
+
+    writer = counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(save)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
+
+
+def latest_windows(spark: SparkSession, output: str, keys: list[str]) -> DataFrame:
+    """What save_windows wrote, each window and key as of its last batch."""
+    rows = spark.read.parquet(output)
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*(F.max_by(c, "batch").alias(c) for c in rest))
+
+
 def sessions(events: DataFrame, user: str, time: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     rows = events.withColumn("_t", F.col(time).cast("timestamp"))
     rows = rows.withWatermark("_t", late) if rows.isStreaming else rows

@@ -1,14 +1,16 @@
 import json
 from datetime import date
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from starloom.functions import text
+from starloom.functions import similar, text
 from starloom.operators import aggregate, audit, cdc, dedup, dims, fact, late, lookup, scd, screens, survivorship
 from starloom.operators.components import components
+from starloom.operators.dedup import scored_pairs
 from starloom.operators.screens import Rule
 from starloom.operators.standardize import ENTITY_TRANSFORMS, geography, standardize
 from starloom.operators.surrogate import KeySequence, assign_keys
@@ -95,11 +97,49 @@ def test_jaro_winkler():
     assert text.jaro_winkler_one("", "a") == 0.0 and text.jaro_winkler_one("", "") == 1.0
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.tuples(st.text("abcé ", max_size=8), st.text("abcé ", max_size=8)), min_size=1, max_size=20))
-def test_bound_is_never_below_the_similarity(spark, pairs):
-    df = spark.createDataFrame(pairs, "a string, b string")
-    assert df.filter(text.similarity(F.col("a"), F.col("b")) > text.jaro_winkler_bound(F.col("a"), F.col("b")) + 1e-9).count() == 0
+texts = st.text("abcé ", max_size=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(texts, texts), min_size=1, max_size=30))
+def test_batches_and_bounds_of_jaro_winkler(pairs):
+    both = similar.Field([x for p in pairs for x in p])
+    x, y = both.of[::2], both.of[1::2]
+    one = [text.jaro_winkler_one(a, b) for a, b in pairs]
+    assert both.similarity(x, y).tolist() == [1.0 if a == b else s for (a, b), s in zip(pairs, one)]
+    assert (both.bound(x, y).diagonal() >= np.array(one) - 1e-12).all()
+    some = [(a, b) for a, b in pairs if a and b]
+    assert similar.jaro_winkler_many([a for a, _ in some], [b for _, b in some]).tolist() == [text.jaro_winkler_one(a, b) for a, b in some]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(texts, texts), min_size=2, max_size=30), st.sampled_from([0.3, 0.6, 0.85]), st.booleans())
+def test_no_pair_above_the_threshold_is_lost(rows, threshold, sided):
+    side = np.arange(len(rows)) % 2 if sided else None
+    a, b, score = similar.scored([[r[0] for r in rows], [r[1] for r in rows]], [0.7, 0.3], side, threshold)
+    got = {(min(i, j), max(i, j)): s for i, j, s in zip(a.tolist(), b.tolist(), score.tolist())}
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            want = 0.0 + text.jaro_winkler_one(rows[i][0], rows[j][0]) * 0.7 + text.jaro_winkler_one(rows[i][1], rows[j][1]) * 0.3
+            if (side is None or side[i] != side[j]) and want >= threshold:
+                assert got[i, j] == want
+            elif want < threshold - 1e-5 or side is not None and side[i] == side[j]:
+                assert (i, j) not in got
+
+
+def test_column_similarity_and_long_texts(spark):
+    df = spark.createDataFrame([("ab" * 400, "ab" * 399 + "ba"), (" Martha", "marhta "), (None, ""), ("x", None), ("日本𠀀語", "日本語𠀀")], "a string, b string")
+    got = [r[0] for r in df.select(text.similarity(F.col("a"), F.col("b"))).collect()]
+    assert got == [text.jaro_winkler_one("ab" * 400, "ab" * 399 + "ba"), text.jaro_winkler_one("martha", "marhta"), 1.0, 0.0, text.jaro_winkler_one("日本𠀀語", "日本語𠀀")]
+
+
+@pytest.mark.parametrize("chunk", [8192, 3])
+def test_scored_pairs_in_chunks_and_blocks(spark, rows, chunk):
+    names = ["anna", "anne", "hanna", "bob", "bobby", "", "", "robert", "rob", "annabel"]
+    df = spark.createDataFrame([(i, n, ["x", None, "y"][i % 3]) for i, n in enumerate(names)], "_ord int, name string, block string")
+    want = lambda same: sorted((i, j, round(text.jaro_winkler_one(a, b), 6)) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and same(i, j) and round(text.jaro_winkler_one(a, b), 6) >= 0.8)
+    assert rows(scored_pairs(df, {"name": 1.0}, 0.8, chunk=chunk)) == sorted(want(lambda i, j: True), key=repr)
+    assert rows(scored_pairs(df, {"name": 1.0}, 0.8, ["block"], chunk=chunk)) == sorted(want(lambda i, j: i % 3 == j % 3), key=repr)
 
 
 # ---- clusters and golden records
