@@ -6,24 +6,28 @@
    larger one is branched along two more coordinates, chosen by the node's path alone, so documents that are
    similar stay together on some branch. Trees are independent; with J the similarity, a pair misses all of them
    with at most about (1 - 0.94 J)^TREES, 2e-6 at J = 0.8. Nodes too large for one task are branched by Spark
-   first, and what does not come apart there (masses of near copies) is dealt in blocks that share hubs.
+   first, and what does not come apart there (masses of near copies) is split as below.
    Nodes return a spanning forest of candidate links, so rows stay linear in the documents.
 3. Components of the candidate links bound what has to be looked at. In each, links are confirmed on the full sets by a
-   breadth-first search that compares a document with those not reached yet. A component too large for a task is
-   dealt in blocks with shared hubs, and the documents that the hubs do not reach are then compared with every
-   block: exact, without a cap on partners.
+   breadth-first search that compares a document with those not reached yet.
 4. Components of the confirmed links are the groups.
 
+A node or component too large for a task, by documents, shingles or bytes, is split without a cap on partners: it is dealt
+in blocks that share some hubs, each searched by itself; then the documents that have not come together with its largest
+group are compared with every document of another group, a chunk of them with a block at a time. Near copies come
+together over the hubs, so little is left to ask; a component of many groups is asked block by block, as an exact answer needs.
+
 Defined cases: null and empty texts, and those without words, have empty sets and link with nothing; fewer words than
 a shingle make one shingle of all; repeated rows are equal sets; rows that repeat an id with other texts
-each have the component of their text; null ids link with nothing and are not kept. Columns other than id and text are not read.
+each have the component of their text; null ids link with nothing and are not kept; ids that are no integers are refused.
+Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starloom.llm.common import by_group, small_batches, table, written
@@ -37,6 +41,9 @@ DEPTH = 7  # branchings inside a task
 NODE = 6000  # documents of a node that one task takes
 LEVELS = 3  # branchings by Spark of larger nodes
 BLOCK = 4_000_000  # shingles of a component that one task takes
+BYTES = 32 << 20  # of text that one task takes, but for a longer document
+DOCS = 64  # documents of a block of a split component; components of up to four times as many are not split
+ASKED = 128, 1024  # documents of a block that what is left is compared with: as many as are left, within these bounds
 HUBS = 16
 #: Equal coordinates, of 64, that make a candidate: five deviations below the mean at the least similarity.
 SLACK = 5.0
@@ -62,7 +69,9 @@ def sketches(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc, n, print, sketch, roots. Written to the shared folder."""
+    """doc, n, bytes, print, sketch, roots. Written to the shared folder."""
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {docs.schema[id_col].dataType.simpleString()}: number the documents by integers first")
 
     def run(batches):
         for batch in batches:
@@ -76,12 +85,12 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
                     sketch[full], roots[full] = sketches([sets[i] for i in full])
                 rows = lambda m, kind: pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32)), pa.array(m.ravel(), kind))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array([fingerprint(s) for s in sets], pa.binary()), rows(sketch, pa.int16()), rows(roots, pa.int64())],
-                    names=["doc", "n", "print", "sketch", "roots"],
+                    [batch.column(0).slice(a, b - a), pa.array(n), pa.array([len(t) for t in texts[a:b]], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.binary()), rows(sketch, pa.int16()), rows(roots, pa.int64())],
+                    names=["doc", "n", "bytes", "print", "sketch", "roots"],
                 )
 
     source = docs.select(F.col(id_col).cast("long"), text_col)
-    return written(source.mapInArrow(run, "doc bigint, n bigint, print binary, sketch array<smallint>, roots array<bigint>"), "sketches")
+    return written(source.mapInArrow(run, "doc bigint, n bigint, bytes bigint, print binary, sketch array<smallint>, roots array<bigint>"), "sketches")
 
 
 class NodeJoin:
@@ -178,6 +187,7 @@ def candidate_links(reps: DataFrame, similarity=SIMILARITY, node_rows: int = NOD
     """reps: rep, n, sketch, roots. Spanning forests of the candidates of all nodes of all trees, as (a, b)."""
     rows = reps.select("rep", "n", "sketch", F.posexplode("roots").alias("tree", "root")).select(F.xxhash64("tree", "root").alias("node"), "rep", "n", "sketch")
     done: list[DataFrame] = []
+    split = members = sketch = None
     for level in range(levels + 1):
         large = written(rows.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") > node_rows), "large-nodes")
         if not large.limit(1).count():
@@ -190,17 +200,104 @@ def candidate_links(reps: DataFrame, similarity=SIMILARITY, node_rows: int = NOD
             big = big.withColumn("_j", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("_step", step)
             rows = big.select(F.xxhash64("node", "_j", F.element_at("sketch", F.col("_step") + 1)).alias("node"), "rep", "n", "sketch")
         else:
-            blocks = F.ceil(F.col("_n") / node_rows).cast("int")
-            draw = F.xxhash64("rep", "node")
-            hub = F.pmod(draw, F.ceil(F.col("_n") / HUBS)) == 0
-            own = F.array(F.pmod(F.xxhash64("rep", F.lit(7)), blocks).cast("int"))
-            big = big.withColumn("_block", F.explode(F.when(hub, F.sequence(F.lit(0), blocks - 1)).otherwise(own)))
-            done.append(big.select(F.xxhash64("node", "_block").alias("node"), "rep", "n", "sketch"))
+            members = written(big.select(F.col("node").alias("key"), "rep", F.lit(0).alias("n"), F.lit(0).alias("bytes")), "node-members")
+            sketch = reps.select(F.col("rep").alias("_rep"), F.col("n").alias("_size"), "sketch")
+            split = written(in_blocks(members, node_rows, node_rows), "node-blocks")
+            hubs = split.select("rep", "task").join(sketch, F.col("rep") == F.col("_rep")).select(F.col("task").alias("node"), "rep", F.col("_size").alias("n"), "sketch")
+            done.append(hubs)
     every = done[0]
     for more in done[1:]:
         every = every.union(more)
-    links = every.repartition(F.col("node")).sortWithinPartitions("node", "rep").mapInArrow(_forest_links(similarity), "a bigint, b bigint")
-    return links.distinct()
+    links = every.repartition(F.col("node")).sortWithinPartitions("node", "rep").mapInArrow(_forest_links(similarity), "a bigint, b bigint").distinct()
+    if split is None:
+        return links
+    links = written(links, "node-links")
+
+    def ask(group: pa.Table):
+        n, rep, asking, of = (group[c].to_numpy(zero_copy_only=False) for c in ("n", "rep", "asks", "_group"))
+        values = group["sketch"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES)
+        join, out = NodeJoin(values, n, similarity), set()
+        rest = np.flatnonzero(~asking)
+        for x in np.flatnonzero(asking).tolist():
+            other = rest[of[rest] != of[x]]
+            if len(other):
+                out |= {(int(of[x]), int(y)) for y in np.unique(of[other[join.near(np.array([x]), other)[0]]]).tolist()}
+        return _link_batch(out)
+
+    asked = to_ask(in_groups(members, components(links)), (node_rows, node_rows)).join(sketch, F.col("rep") == F.col("_rep"))
+    more = by_group(asked.select("task", "rep", F.col("_size").alias("n"), "sketch", "_group", "asks"), "task", ask, "a bigint, b bigint", "rep")
+    return links.union(written(more, "node-asked")).distinct()
+
+
+def _link_batch(pairs) -> pa.RecordBatch | None:
+    a, b = zip(*sorted(pairs)) if pairs else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]) if pairs else None
+
+
+def _pieces(docs: int | Column, block: int, size: int) -> Column:
+    """How many parts of at most so many documents, shingles and bytes the sums _docs, _n and _bytes make."""
+    return F.greatest(F.lit(1), F.ceil(F.col("_docs") / docs), F.ceil(F.col("_n") / block), F.ceil(F.col("_bytes") / size)).cast("int")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.count("*").alias("_docs"), F.sum("n").alias("_n"), F.sum("bytes").alias("_bytes"))
+
+
+def in_blocks(members: DataFrame, whole: int, docs: int, block: int = BLOCK, size: int = BYTES) -> DataFrame:
+    """members: key, rep, n, bytes and more. Adds task, split (whether the key has several blocks: those of up to `whole`
+    documents that fit a task have one) and hub: hubs of a split key are in all its blocks."""
+    sums = _sums(members).withColumn("_blocks", F.when((F.col("_docs") <= whole) & (_pieces(whole, block, size) == 1), F.lit(1)).otherwise(_pieces(docs, block, size)))
+    dealt = members.join(sums.select(F.col("key").alias("_key"), "_blocks", "_docs"), F.col("key") == F.col("_key")).drop("_key").withColumn("split", F.col("_blocks") > 1)
+    # blocks and hubs of a document differ from key to key, so that trees stay independent
+    dealt = dealt.withColumn("hub", F.col("split") & (F.pmod(F.xxhash64("rep", "key", F.lit(11)), F.greatest(F.lit(1), F.ceil(F.col("_docs") / HUBS))) == 0))
+    own = F.array(F.pmod(F.xxhash64("rep", "key"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_block", F.explode(F.when(F.col("hub"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(own)))
+    return dealt.withColumn("task", F.xxhash64("key", "_block")).drop("_block", "_blocks", "_docs")
+
+
+def in_groups(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Adds _group, by found: (id, component), and _left: whether that is not the largest of the key."""
+    grouped = members.join(found.select(F.col("id").alias("_id"), F.col("component").alias("_component")), F.col("rep") == F.col("_id"), "left")
+    grouped = grouped.withColumn("_group", F.coalesce("_component", "rep")).drop("_id", "_component")
+    main = grouped.groupBy("key", "_group").agg(F.count("*").alias("_m")).groupBy(F.col("key").alias("_key")).agg(F.max_by("_group", F.struct("_m", "_group")).alias("_main"))
+    return grouped.join(main, F.col("key") == F.col("_key")).withColumn("_left", F.col("_group") != F.col("_main")).drop("_key", "_main")
+
+
+def around_anchors(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """placed: task, key, rep, root, hub, size: of the members of split keys, their root and its group's size in each block they are in.
+
+    The hub that has most documents around it is its key's anchor: what came together with it in any block is one group,
+    the rest is left, each with its block's group. Adds _group and _left.
+    """
+    around = placed.filter("hub").groupBy("key", "rep").agg(F.sum("size").alias("_m"))
+    anchors = around.groupBy(F.col("key").alias("_key")).agg(F.max_by("rep", F.struct("_m", "rep")).alias("_anchor"))
+    at = placed.filter("hub").join(anchors, (F.col("key") == F.col("_key")) & (F.col("rep") == F.col("_anchor"))).select(F.col("task").alias("_task"), F.col("root").alias("_at"), "_anchor")
+    seen = placed.join(at, F.col("task") == F.col("_task"), "left").withColumn("_near", F.coalesce(F.col("root") == F.col("_at"), F.lit(False)))
+    seen = seen.groupBy(F.col("key").alias("_key"), F.col("rep").alias("_rep")).agg(F.max("_near").alias("_near"), F.max("_anchor").alias("_anchor"), F.min("root").alias("_root"))
+    grouped = members.join(seen, (F.col("key") == F.col("_key")) & (F.col("rep") == F.col("_rep")))
+    return grouped.withColumn("_group", F.when(F.col("_near"), F.col("_anchor")).otherwise(F.col("_root"))).withColumn("_left", ~F.col("_near")).drop("_key", "_rep", "_near", "_anchor", "_root")
+
+
+def to_ask(grouped: DataFrame, docs: tuple[int, int] = ASKED, block: int = BLOCK, size: int = BYTES) -> DataFrame:
+    """Documents that are left (as chunks that ask) and all others of their key (as blocks), dealt so that each of the first meets
+    each document of another group in one task.
+
+    grouped: key, rep, n, bytes, _group, _left and more, one row a document and key. Adds asks, task. Written.
+    """
+    grouped = written(grouped, "split")
+    left = _sums(grouped.filter("_left"))
+    fits = F.greatest(F.lit(docs[0]), F.least(F.lit(docs[1]), F.col("_docs")))
+    chunks = left.select(F.col("key").alias("_key2"), fits.alias("_fits"), _pieces(fits, block, size).alias("_chunks"))
+    sums = _sums(grouped).join(chunks, F.col("key") == F.col("_key2"))  # keys with nothing left go
+    sums = sums.select(F.col("key").alias("_key"), "_chunks", _pieces(F.col("_fits"), block, size).alias("_blocks"))
+    grouped = grouped.join(sums, F.col("key") == F.col("_key"))
+    draw = F.xxhash64("rep", "key", F.lit(13))
+    block_of, chunk_of = F.pmod(draw, F.col("_blocks")).cast("int"), F.pmod(draw, F.col("_chunks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keep = [c for c in grouped.columns if c not in ("key", "n", "bytes", "_left", "_key", "_chunks", "_blocks")]
+    as_block = grouped.withColumn("_other", every("_chunks")).select(*keep, F.lit(False).alias("asks"), F.xxhash64("key", block_of, "_other").alias("task"))
+    asks = grouped.filter("_left").withColumn("_other", every("_blocks")).select(*keep, F.lit(True).alias("asks"), F.xxhash64("key", "_other", chunk_of).alias("task"))
+    return written(as_block.union(asks), "asked")
 
 
 class SetSearch:
@@ -254,77 +351,66 @@ def _sets_of(group: pa.Table, words: int) -> tuple[list[np.ndarray], list[int]]:
     return [sets[i] for i in ok], ok
 
 
-def confirmed_links(docs: DataFrame, members: DataFrame, words: int, similarity, block: int = BLOCK) -> DataFrame:
-    """docs: doc, text. members: rep, component, n, print. Links (a, b) that span each true component."""
-    size = members.groupBy("component").agg(F.sum("n").alias("_all"), F.count("*").alias("_docs"))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("_all") / block)).cast("int")
-    dealt = members.join(size, "component").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
-    dealt = written(dealt.select("rep", "component", "n", "print", "_docs", "_blocks", "_own"), "members")
-    hub = (F.col("_blocks") > 1) & (F.pmod(F.xxhash64("rep", F.lit(11)), F.greatest(F.lit(1), F.ceil(F.col("_docs") / HUBS))) == 0)
-    inside = dealt.withColumn("_block", F.explode(F.when(hub, F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array("_own"))))
-    texts = docs.select(F.col("doc").alias("rep"), "text")
-    # Texts meet their vertices by a merge join at every size, then are spread again by (component, block), so that
+def confirmed_links(docs: DataFrame, members: DataFrame, words: int, similarity, block: int = BLOCK, part: int = DOCS) -> DataFrame:
+    """docs: doc, text. members: key (the candidates' component), rep, n, bytes, print. Links (a, b) that span each true component."""
+    members = written(members, "members")
+    inside = written(in_blocks(members, 4 * part, part, block), "blocks")
+    texts = docs.select(F.col("doc").alias("_doc"), "text")
+    # Texts meet their vertices by a merge join at every size, then are spread again by task, so that
     # whole groups come to one task.
-    rows = texts.join(inside.select("rep", "print", F.xxhash64("component", "_block").alias("task")).hint("merge"), "rep")
+    rows = texts.join(inside.select("task", "key", "rep", "print", "split", "hub").hint("merge"), F.col("_doc") == F.col("rep")).drop("_doc")
 
     def search(group: pa.Table):
         sets, ok = _sets_of(group, words)
-        if len(sets) < 2:
+        if not sets:
             return None
-        rep = group["rep"].to_numpy()[ok]
+        group = group.take(pa.array(ok))
+        rep, split = group["rep"].to_numpy(), group["split"].to_numpy(zero_copy_only=False)
         forest = SetSearch(sets, similarity).groups()
         roots = np.array([forest.root(i) for i in range(len(rep))])
-        out = np.flatnonzero(rep != rep[roots])
-        return pa.RecordBatch.from_arrays([pa.array(rep[out]), pa.array(rep[roots[out]])], names=["a", "b"])
-
-    links = written(by_group(rows, "task", search, "a bigint, b bigint", "rep"), "links-confirmed")
-    split = dealt.filter("_blocks > 1")
-    if not split.limit(1).count():
+        size = np.bincount(roots, minlength=len(rep))[roots]
+        out = pa.array(np.flatnonzero((rep != rep[roots]) | split))  # of split components every document, else links only
+        more = [pa.array(rep[roots]).take(out), pa.array(size).take(out)]
+        return pa.RecordBatch.from_arrays([*(group[c].combine_chunks().take(out) for c in ("task", "key", "rep", "split", "hub")), *more], names=["task", "key", "rep", "split", "hub", "root", "size"])
+
+    found = written(by_group(rows, "task", search, "task bigint, key bigint, rep bigint, split boolean, hub boolean, root bigint, size bigint", "rep"), "links-confirmed")
+    links = found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))
+    placed = found.filter("split").drop("split")
+    if not placed.limit(1).count():
         return links
-    # Documents that no hub reached against every block: chunks of them, one task a chunk and block.
-    found = components(links).withColumnRenamed("id", "rep").withColumnRenamed("component", "_group")
-    split = written(split.join(found, "rep", "left").withColumn("_group", F.coalesce("_group", "rep")), "split")
-    main = split.groupBy("component", "_group").agg(F.count("*").alias("_n")).groupBy("component").agg(F.max_by("_group", F.struct("_n", "_group")).alias("_main"))
-    split = split.join(main, "component").withColumn("_left", F.col("_group") != F.col("_main"))
-    chunks = split.filter("_left").groupBy("component").agg(F.ceil(F.sum("n") / block).cast("int").alias("_chunks"))
-    split = split.join(chunks, "component").withColumn("_chunk", F.pmod(F.xxhash64("rep", F.lit(13)), F.col("_chunks")).cast("int"))
-    as_block = split.withColumn("_asker", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    as_block = as_block.select("rep", "print", "_group", F.lit(False).alias("asks"), F.xxhash64("component", "_own", "_asker").alias("task"))
-    asks = split.filter("_left").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    asks = asks.select("rep", "print", "_group", F.lit(True).alias("asks"), F.xxhash64("component", "_block", "_chunk").alias("task"))
 
     def ask(group: pa.Table):
         sets, ok = _sets_of(group, words)
         if len(sets) < 2:
             return None
-        rep, asking, of = group["rep"].to_numpy()[ok], group["asks"].to_numpy(zero_copy_only=False)[ok], group["_group"].to_numpy()[ok]
-        find, a, b = SetSearch(sets, similarity), [], []
+        asking, of = group["asks"].to_numpy(zero_copy_only=False)[ok], group["_group"].to_numpy()[ok]
+        find, out = SetSearch(sets, similarity), set()
         rest = np.flatnonzero(~asking)
         for x in np.flatnonzero(asking).tolist():
             hit = find.linked(x, rest[of[rest] != of[x]])
-            for y in np.unique(of[hit]).tolist():
-                a.append(int(of[x]))
-                b.append(y)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            out |= {(int(of[x]), int(y)) for y in np.unique(of[hit]).tolist()}
+        return _link_batch(out)
 
-    more = by_group(texts.join(as_block.union(asks).hint("merge"), "rep"), "task", ask, "a bigint, b bigint", "rep")
+    # The table is written, so texts of what is asked do not move by another merge join unless it is large.
+    asked = to_ask(around_anchors(members, placed), ASKED, block)
+    more = by_group(texts.join(asked, F.col("_doc") == F.col("rep")).select("task", "rep", "print", "text", "_group", "asks"), "task", ask, "a bigint, b bigint", "rep")
     return links.union(written(more, "links-asked"))
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, node_rows: int = NODE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, node_rows: int = NODE, block: int = BLOCK, part: int = DOCS) -> DataFrame:
     """Per row: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     small_batches(spark)
     marks = sketch_table(docs, id_col, text_col, words)
     usable = marks.filter("n > 0 and doc is not null")
-    reps = usable.groupBy("print").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
+    reps = usable.groupBy("print").agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.max("bytes").alias("bytes"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"))
     reps = written(reps, "set-classes")
     candidates = components(candidate_links(reps, similarity, node_rows)).withColumnRenamed("id", "rep")
-    members = reps.select("rep", "n", "print").join(candidates, "rep")
+    members = reps.select("rep", "n", "bytes", "print").join(candidates, "rep").withColumnRenamed("component", "key")
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     # Of several sets under one id, one is confirmed.
     same = reps.groupBy("rep").agg(F.min("print").alias("print")).select("rep", "print")
-    links = confirmed_links(texts, members.join(same, ["rep", "print"], "left_semi"), words, similarity, block)
+    links = confirmed_links(texts, members.join(same, ["rep", "print"], "left_semi"), words, similarity, block, part)
     found = components(links).select(F.col("id").alias("_id"), F.col("component").alias("_component"))
     classes = reps.select(F.col("print").alias("_print"), "rep").join(found, F.col("rep") == F.col("_id"), "left").select("_print", F.coalesce("_component", "rep").alias("_component"))
     out = marks.join(classes, (F.col("print") == F.col("_print")) & (F.col("n") > 0) & F.col("doc").isNotNull(), "left")

@@ -179,10 +179,14 @@ def near_texts(groups=12, members=10, words=60, seed=5):
     return out
 
 
-@pytest.mark.parametrize("node,block", [(minhash_dedup.NODE, minhash_dedup.BLOCK), (15, 300)])
-def test_near_documents(spark, node, block):
+# whole; nodes split and components split by shingles; by documents, with ask blocks of a few
+@pytest.mark.parametrize("node,block,part,asked", [(minhash_dedup.NODE, minhash_dedup.BLOCK, minhash_dedup.DOCS, minhash_dedup.ASKED), (15, 300, 100, (100, 100)), (4, minhash_dedup.BLOCK, 2, (2, 3))])
+def test_near_documents(spark, monkeypatch, node, block, part, asked):
+    monkeypatch.setattr(minhash_dedup, "ASKED", asked)
+    monkeypatch.setattr(minhash_dedup, "HUBS", 16 if part > 2 else 2)
     texts = [*EDGE, *near_texts(), "word", "WORD", "one two", "One  TWO"]
-    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs_of(spark, texts), node_rows=node, block=block).collect()}
+    df = docs_of(spark, texts).selectExpr("*", "1 as n", "'x' as print", "2 as key", "3 as rep", "4 as component_id")
+    got = {r.doc_id: r for r in minhash_dedup.near_duplicates(df, node_rows=node, block=block, part=part).collect()}
     sizes, comp = brute_near(texts)
     assert [got[i].n_shingles for i in range(len(texts))] == sizes
     assert [got[i].component_id for i in range(len(texts))] == comp
@@ -196,6 +200,29 @@ def test_near_documents_with_repeated_ids(spark):
     assert minhash_dedup.drop_near_duplicates(df, words=2).count() == 4
 
 
+def test_near_duplicates_wants_integer_ids(spark):
+    with pytest.raises(TypeError):
+        minhash_dedup.near_duplicates(spark.createDataFrame([("a", "b c")], "doc_id string, text string"))
+
+
+@pytest.mark.parametrize("node", [6000, 20])
+def test_template_text_of_similar_pairs_is_found(spark, node):
+    """One template, pairs of its fillings at 0.80 to 0.87: all links are found, split nodes or not."""
+    rng = random.Random(11)
+    template, texts = [f"t{i}" for i in range(60)], []
+    for k in range(150):
+        own = [f"u{k}_{i}" for i in range(14)]
+        one = template + own
+        two = list(one)
+        for i in rng.sample(range(62, 73, 2), rng.choice([2, 3])):
+            two[i] = f"v{k}_{i}"
+        texts += [" ".join(one), " ".join(two)]
+    sizes, comp = brute_near(texts)
+    assert len(set(comp)) < len(texts)
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(docs_of(spark, texts), node_rows=node).collect()}
+    assert [got[i] for i in range(len(texts))] == comp
+
+
 # ---- 5
 
 def test_line_dedup(spark):
