@@ -35,6 +35,7 @@ CHUNK_BYTES = 16 << 20  # of double precision numbers
 HALVED = 2048  # labels of more vectors are dealt as two chunks at least, for the sake of parallel tasks
 TILE = 512
 FEW = 20_000  # candidates of a pair of tiles that are looked at one by one
+SALTS = 32  # keys under which the smallest id of a component is looked up
 LOOSE = 4e-6  # what rounding to single precision may add to a squared distance of unit vectors
 
 
@@ -196,7 +197,9 @@ def dedup_embeddings(table_: DataFrame, id_col="vec_id", vector_col="embedding",
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     per_class = classes.select("h1", "h2", "cls", "least", "n").join(links, "cls", "left").join(group, "cls", "left")
     first = per_class.filter("component is not null").groupBy("component").agg(F.min("least").alias("_first"))
-    per_class = per_class.join(first, "component", "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("_first", "least").alias("component"))
+    # A component may hold most classes: its smallest id is met under SALTS keys.
+    first = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    per_class = per_class.withColumn("_salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).join(first, ["component", "_salt"], "left").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("_first", "least").alias("component"))
     out = rows.select("id", "h1", "h2").join(per_class, ["h1", "h2"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
