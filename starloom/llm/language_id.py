@@ -2,8 +2,8 @@
 
 Per language a character model of order ORDER with interpolated Kneser-Ney smoothing, over letters folded to
 lower case with every run of other characters read as one space. The n-gram counts of the training rows are
-summed by Spark, so what reaches the driver is the distinct n-grams of a bounded sample: at most about
-`rows_per_language` rows a language, chosen by a hash of the id against a rate from the language's row count.
+summed by Spark, so what reaches the driver is the distinct n-grams of a bounded sample: about `rows_per_language` rows and
+`chars_per_language` characters a language at most, chosen by a hash of the id against a rate from the language's rows and characters.
 The models are stored in sorted hash arrays, one for each order, that hold the interpolated log-probability
 under every language that has the n-gram; a look-up is a binary search, from the shortest order up.
 
@@ -20,7 +20,8 @@ language alone, with foreign passages in it too, and drops text unlike anything
 
 Defined cases: text that is null or has no letters gives `und`, score 0, rejected. Rows with null language are
 not learned from. Ties go to the first language by name. Without any labelled row all rows are `und`. Whole
-texts are read; repeated rows are scored each for themselves; other columns are not read.
+texts are read; repeated rows are scored each for themselves; other columns are not read, but carried along by identify(), whose
+own columns take the place of any of the same name.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from starloom.llm.common import small_batches, table
 
 ORDER = 5
 ROWS_PER_LANGUAGE = 1500
+CHARS_PER_LANGUAGE = 8_000_000
 TOLERANCE = 12.0
 UNLIKE = 0.5
 CHARS = 1_500_000  # characters scored at once
@@ -64,7 +66,7 @@ class Alphabet:
                 known[ord(c)] = k + 1
             self._map = known
         folded = [_folded(t) for t in texts]
-        raw = np.frombuffer("\n".join(["", *folded, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        raw = np.frombuffer("\n".join(["", *folded]).encode("utf-32-le", "surrogatepass"), np.uint32)
         codes = self._map[raw]
         ends = np.cumsum([len(t) + 1 for t in folded])
         starts = np.concatenate(([0], ends[:-1]))
@@ -305,16 +307,17 @@ def _calibrate(model: Model, h: np.ndarray, letters: np.ndarray) -> None:
     model.spread = np.stack([a, b])
 
 
-def train(rows: DataFrame, text_col: str, lang_col: str, id_col: str, order: int = ORDER, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
+def train(rows: DataFrame, text_col: str, lang_col: str, id_col: str, order: int = ORDER, rows_per_language: int = ROWS_PER_LANGUAGE, chars_per_language: int = CHARS_PER_LANGUAGE) -> Model:
     """rows: all that may be learned from. Three jobs: language counts, alphabet with n-gram counts, calibration."""
     spark = rows.sparkSession
     small_batches(spark)
     rows = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    per = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    found = rows.groupBy("_lang").agg(F.count("*").alias("n"), F.sum(F.length("_text")).alias("chars")).collect()  # one row a label
+    per, chars = {r["_lang"]: r["n"] for r in found}, {r["_lang"]: max(1, r["chars"]) for r in found}
     languages = sorted(per)
     if not languages:
         return Model([], Alphabet(""), order, [], [], 0.0)
-    labels = pa.table({"_lang": languages, "_k": pa.array(range(len(languages)), pa.int32()), "_rate": [min(1.0, rows_per_language / per[x]) for x in languages], "_few": [per[x] < FEW for x in languages]})
+    labels = pa.table({"_lang": languages, "_k": pa.array(range(len(languages)), pa.int32()), "_rate": [min(1.0, rows_per_language / per[x], chars_per_language / chars[x] if per[x] >= FEW else 1.0) for x in languages], "_few": [per[x] < FEW for x in languages]})
     draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000)) / 1_000_000
     sample = rows.join(spark.createDataFrame(labels), "_lang").filter(draw < F.col("_rate")).select("_id", "_text", "_k", "_few")
     # every tenth row is held back for calibration
@@ -370,11 +373,15 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+ADDED = ("lang_pred", "lang_score", "lang_cross_entropy", "lang_rejected")
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
     """Adds lang_pred, lang_score, lang_cross_entropy and lang_rejected to the rows of docs."""
     small_batches(docs.sparkSession)
     # The model is bounded by the training sample, never by the input.
     share = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(*(c for c in ADDED if c != text_col))
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -389,7 +396,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", tolerance: f
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
     out = plain.mapInArrow(run, f"{schema}, p string, s double, h double, r boolean")
-    return out.toDF(*docs.columns, "lang_pred", "lang_score", "lang_cross_entropy", "lang_rejected")
+    return out.toDF(*docs.columns, *ADDED)
 
 
 def drop_unidentified(docs: DataFrame, model: Model, text_col: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
