@@ -2,6 +2,12 @@
 
 Stages 1 to 4 return the columns of documents. ORACLE_SQL is None: language models and tokenizers have no SQL;
 tests/llm holds the stages against plain Python versions.
+
+Defined cases: null, empty and blank texts and those without a letter go in the first stage; of equal texts the row with the
+smallest id stays, a null id counting as the largest, and of rows that repeat it one; rows with a null id are no near copies of any;
+documents that the mix takes twice come twice; extra columns are carried through the first four stages, whatever their
+names; an empty table gives an empty table with the last stage's columns. What a stage wrote on its way is removed when its result is written, and
+that when the next one's is.
 """
 
 from __future__ import annotations
@@ -9,7 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from starloom.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
-from starloom.llm.common import table, written
+from starloom.llm.common import table
+from starloom.storage import drop_written, settled
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        drop_written(before)
     return docs
