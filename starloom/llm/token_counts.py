@@ -9,8 +9,11 @@ Text is prepared as by the Metaspace pre-tokenizer: spaces become U+2581, one is
 and segmentation does not cross into the next U+2581. So a text's count is the sum over its words, and words seen
 before are looked up (at most MOST of them are remembered; then the memory starts afresh).
 
-Defined cases: null and empty texts have 0 tokens. Whole texts are counted; repeated rows each for themselves.
-Columns other than id and text are not read.
+The default vocabulary is the ordinary pieces of `piece_bpe_32k.model` with their scores. That model merges pairs by rank and
+falls back to bytes; here its pieces are a unigram vocabulary, so counts are those of that unigram model, not of the file's own.
+
+Defined cases: null and empty texts have 0 tokens. Whole texts are counted, a word of any length in time linear in it; repeated
+rows each for themselves. Columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
