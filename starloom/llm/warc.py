@@ -6,12 +6,17 @@ rolling over at `roll` bytes of records. The normaliser inflates such a file onc
 record as a gzip member of its own, and writes a sidecar index (offset, length, id, kind), through which a reader
 can seek to any record. The archives are then read back by the index.
 
-All files lie in the shared folder, written under a temporary name and renamed when complete, so a task that runs
-twice leaves one complete file of each name. Memory is bounded by one record.
+All files lie in the shared folder, each under a name that only one attempt of one task uses. Which of them count is told by
+tables that Spark commits, so a task that runs twice, late or beside itself never touches a file that another one reads;
+files of attempts that lost stay unread and go with the folder. Memory is bounded by one record.
+
+Equal payloads are found by SHA-1, a second hash and the length. Only those three and ids are grouped; payloads do not move
+while the groups of several pages are few enough to broadcast, and are joined with them once beyond that.
 
 Defined cases: null html is an empty payload; payloads below `least` bytes are all responses; a null id is
 written as an empty one and read back as null, and sorts below all others; of rows that repeat id and payload one
-is the response and the others revisit it; an empty table gives no archive. Other columns are not read.
+is the response and the others revisit it; ids that are no integers are refused; an empty table gives no archive. Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,24 +35,28 @@ from pyspark.sql import functions as F
 from starloom.llm.common import new_path, small_batches, table, written
 
 ROLL = 64 << 20
-LEVEL = 6
+LEVEL = 6  # of the members that stay
+FAST = 1  # of the monolithic streams, which are read once
+#: Schemes that Arrow spells otherwise than Hadoop.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "wasbs": "abfs"}
 
 
 def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    kind = "response" if refers_to is None else "revisit"
+def record(page: int | None, url: str | None, payload: bytes, digest: str, leads: bool = True, refers_to: int | None = None) -> bytes:
+    """A response, or if it does not lead a revisit of the page refers_to."""
+    kind = "response" if leads else "revisit"
     named = lambda x: f"<urn:starloom:page:{'' if x is None else x}>"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    block = http + (payload if refers_to is None else b"")
+    block = http + (payload if leads else b"")
     clean = "".join(c for c in url or "" if c > " ")
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {named(page)}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {clean}",
         f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response",
     ]
-    if refers_to is not None:
+    if not leads:
         lines += [f"WARC-Refers-To: {named(refers_to)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
@@ -95,12 +104,17 @@ def records(stream: Iterator[bytes]) -> Iterator[bytes]:
 
 
 class Store:
-    """Files under a folder that Spark shares, on any file system that Arrow knows."""
+    """Files under a folder that Spark shares: local or mounted disks, HDFS (by libhdfs), S3, Google and Azure stores, as Arrow knows them."""
 
     def __init__(self, folder: str):
         from pyarrow import fs
 
-        self.fs, self.root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        scheme, _, rest = folder.partition("://")
+        where = f"{ARROW_SCHEMES.get(scheme, scheme)}://{rest}" if rest or "://" in folder else "file://" + folder.removeprefix("file:")
+        try:
+            self.fs, self.root = fs.FileSystem.from_uri(where)
+        except pa.ArrowInvalid as e:
+            raise ValueError(f"archives cannot be written to {folder}: {e}") from e
         self.fs.create_dir(self.root, recursive=True)
 
     def open(self, name: str):
@@ -109,14 +123,10 @@ class Store:
     def write(self, name: str):
         return self.fs.open_output_stream(f"{self.root}/{name}", compression=None)
 
-    def rename(self, old: str, new: str):
-        """A file of that name is from an earlier attempt of the same task and has the same bytes."""
-        if self.fs.get_file_info(f"{self.root}/{new}").type.name != "NotFound":
-            self.delete(new)
-        self.fs.move(f"{self.root}/{old}", f"{self.root}/{new}")
-
     def delete(self, name: str):
-        self.fs.delete_file(f"{self.root}/{name}")
+        """Also where an earlier attempt has done it."""
+        if self.fs.get_file_info(f"{self.root}/{name}").type.name != "NotFound":
+            self.fs.delete_file(f"{self.root}/{name}")
 
 
 def _attempt() -> tuple[int, str]:
@@ -127,11 +137,22 @@ def _attempt() -> tuple[int, str]:
 
 
 def with_revisits(pages: DataFrame, id_col="page_id", payload_col="html", url_col: str | None = "url", least: int = 0) -> DataFrame:
-    """id, url, payload (binary), digest, refers_to. Only (digest, id) pairs are grouped; payloads move once, for the join."""
+    """id, url, payload (binary), sha1 (hex), best (id of the response of its group, if several share it), leads (whether it is the response)."""
+    if pages.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} is {pages.schema[id_col].dataType.simpleString()}: number the pages by integers first")
     payload = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), (F.col(url_col) if url_col else F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("key"))
-    several = rows.filter(F.length("payload") >= least).groupBy("key").agg(F.max("id").alias("best"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(several, "key", "left")
+    url = F.col(url_col) if url_col else F.lit("")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), url.cast("string").alias("url"), payload.alias("payload")).withColumns({"sha1": F.sha1("payload"), "mark": F.xxhash64("payload"), "size": F.length("payload")})
+    key = ["sha1", "mark", "size"]
+    by_id = rows.filter(F.col("size") >= least).groupBy(*key, "id").agg(F.count("*").alias("c"))
+    several = by_id.groupBy(*key).agg(F.max("id").alias("best"), F.sum("c").alias("n"), F.max_by("c", F.struct(F.col("id").isNotNull(), "id")).alias("same")).filter("n > 1")
+    several = written(several.select(F.col("sha1").alias("_sha1"), F.col("mark").alias("_mark"), F.col("size").alias("_size"), "best", "n", "same"), "shared-payloads")
+    rows = rows.join(several, (F.col("sha1") == F.col("_sha1")) & (F.col("mark") == F.col("_mark")) & (F.col("size") == F.col("_size")), "left")
+    leads = F.col("n").isNull() | F.col("id").eqNullSafe(F.col("best"))
+    if several.filter("same > 1").limit(1).count():  # of rows that repeat the best id, one leads
+        place = F.row_number().over(Window.partitionBy(*key, "id").orderBy("url"))
+        leads = F.col("n").isNull() | (F.col("id").eqNullSafe(F.col("best")) & (place == 1))
+    return rows.select("id", "url", "payload", "sha1", "best", leads.alias("leads"))
 
 
 def write_archives(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
@@ -148,16 +169,15 @@ def write_archives(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
             if out is not None:
                 out.write(squeeze.flush())
                 out.close()
-                store.rename(f"{name}.{attempt}", name)
                 done.append((name, count))
             out = None
 
         for batch in batches:
-            for page, url, payload, best, leads in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "best", "leads"))):
+            for page, url, payload, sha1, best, leads in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload", "sha1", "best", "leads"))):
                 if out is None:
-                    name, size, count, part = f"mono-{partition:06d}-{part:04d}.warc.gz", 0, 0, part + 1
-                    out, squeeze = store.write(f"{name}.{attempt}"), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                raw = record(page, url, payload, base32_sha1(payload), None if leads else best)
+                    name, size, count, part = f"mono-{partition:06d}-{part:04d}-{attempt}.warc.gz", 0, 0, part + 1
+                    out, squeeze = store.write(name), zlib.compressobj(FAST, zlib.DEFLATED, 31)
+                raw = record(page, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), leads, best)
                 out.write(squeeze.compress(raw))
                 size, count = size + len(raw), count + 1
                 if size >= roll:
@@ -170,16 +190,21 @@ def write_archives(rows: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
     return written(rows.mapInArrow(run, "name string, records bigint"), "warc-mono")
 
 
-def normalise(archives: DataFrame, folder: str, files: int) -> DataFrame:
+def one_each(names: DataFrame) -> DataFrame:
+    """A file a task, as long as there are not too many tasks."""
+    return names.repartition(min(10_000, max(1, names.count())))
+
+
+def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """One row per normalised archive: name, index (name of the sidecar), records. Writes now, then removes the input files."""
 
     def run(batches):
         store, (_, attempt) = Store(folder), _attempt()
         for batch in batches:
             for name in batch.column("name").to_pylist():
-                new = name.replace("mono-", "part-")
+                new = f"part-{name.split('-', 1)[1].removesuffix('.warc.gz')}-{attempt}.warc.gz"
                 at, count = 0, 0
-                with store.open(name) as source, store.write(f"{new}.{attempt}") as out, store.write(f"{new}.idx.{attempt}") as side:
+                with store.open(name) as source, store.write(new) as out, store.write(f"{new}.idx") as side:
                     for raw in records(inflated(source)):
                         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         member = squeeze.compress(raw) + squeeze.flush()
@@ -187,12 +212,9 @@ def normalise(archives: DataFrame, folder: str, files: int) -> DataFrame:
                         out.write(member)
                         side.write((json.dumps([at, len(member), fields["warc-record-id"], fields["warc-type"]]) + "\n").encode())
                         at, count = at + len(member), count + 1
-                store.rename(f"{new}.{attempt}", new)
-                store.rename(f"{new}.idx.{attempt}", f"{new}.idx")
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([f"{new}.idx"]), pa.array([count], pa.int64())], names=["name", "index", "records"])
 
-    dealt = archives.select("name").repartition(max(1, files), "name")
-    out = written(dealt.mapInArrow(run, "name string, index string, records bigint"), "warc-index")
+    out = written(one_each(archives.select("name")).mapInArrow(run, "name string, index string, records bigint"), "warc-index")
 
     def remove(batches):
         store = Store(folder)
@@ -205,7 +227,7 @@ def normalise(archives: DataFrame, folder: str, files: int) -> DataFrame:
     return out
 
 
-def read_archives(normalised: DataFrame, folder: str, files: int) -> DataFrame:
+def read_archives(normalised: DataFrame, folder: str) -> DataFrame:
     """One row per record, by the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits)."""
 
     def number(urn: str) -> int | None:
@@ -241,7 +263,7 @@ def read_archives(normalised: DataFrame, folder: str, files: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names)
 
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
-    return normalised.select("name", "index").repartition(max(1, files), "name").mapInArrow(run, schema)
+    return one_each(normalised.select("name", "index")).mapInArrow(run, schema)
 
 
 def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,19 +272,9 @@ def op7_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col="page_id", payload_col="html", url_col="url", least: int = 0, roll: int = ROLL) -> DataFrame:
     """Writes, normalises and reads back."""
-    spark = pages.sparkSession
-    folder = new_path(spark, "warc")
-    rows = with_revisits(pages, id_col, payload_col, url_col, least)
-    # of rows that repeat the best id, one leads
-    again = rows.filter("n > 1 and id <=> best").groupBy("key").agg(F.count("*").alias("same")).filter("same > 1")
-    if again.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.lit(0)))
-        rows = rows.withColumn("leads", F.col("n").isNull() | (F.col("id").eqNullSafe(F.col("best")) & (place == 1)))
-    else:
-        rows = rows.withColumn("leads", F.col("n").isNull() | F.col("id").eqNullSafe(F.col("best")))
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    archives = write_archives(rows, folder, roll)
-    return read_archives(normalise(archives, folder, files), folder, files)
+    folder = new_path(pages.sparkSession, "warc")
+    archives = write_archives(with_revisits(pages, id_col, payload_col, url_col, least), folder, roll)
+    return read_archives(normalise(archives, folder), folder)
 
 
 #: SHA-1 as base32: five hex digits are 20 bits, four letters.

@@ -300,7 +300,7 @@ def test_warc_round_trip(spark):
 
 
 def test_normaliser_makes_members_that_the_index_finds():
-    raws = [warc.record(i, "u", b"x" * n, "D", None) for i, n in enumerate((0, 1, 70_000, 5))]
+    raws = [warc.record(i, "u", b"x" * n, "D") for i, n in enumerate((0, 1, 70_000, 5))]
     one = zlib.compressobj(6, zlib.DEFLATED, 31)
     mono = one.compress(b"".join(raws)) + one.flush()
     import io
