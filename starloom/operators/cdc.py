@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def row_crc(columns: list[str], null: str = "nan") -> Column:
-    """CRC-32 of the values as text, joined by |. Null is a text of its own; column order counts."""
-    return F.crc32(F.encode(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit(null)) for c in columns)), "UTF-8"))
+    """CRC-32 of the values as text, joined by |. Null is a text of its own; column order counts. A | or \\ inside a value is marked
+    by a \\, so that text which moves from a column to the next one shows."""
+    value = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit(null)), r"([\\|])", r"\\$1")
+    return F.crc32(F.encode(F.concat_ws("|", *map(value, columns)), "UTF-8"))
 
 
 def with_crc(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from starloom.schemas import KEYS, TRACKED
 from starloom.sources.fetch import CsvExtractor, ExtractError, JsonExtractor, snapshot_name
 from starloom.sources.readers import latest_in, read_csv, read_parquet_or_none
 from starloom.sources.sinks import DimensionStore, append_error_events, append_error_events_jdbc, restore_table, write_run, write_table
-from starloom.storage import children, exists, read_text, write_text, written
+from starloom.storage import children, exists, read_text, scratch, write_text, written
 
 log = logging.getLogger(__name__)
 
@@ -293,7 +293,7 @@ def run_pipeline(spark: SparkSession, s: Settings, batch: str | None = None, onl
         for name in [only] if only else PHASES:
             if name == "extract" and not s.sources:
                 continue
-            with phase(run, name) as p:
+            with phase(run, name) as p, scratch(spark):  # all that a phase leaves is in its tables
                 if name == "extract":
                     p.details = extract(spark, s, batch, get)
                 elif name == "clean":

@@ -105,9 +105,15 @@ def write_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str],
 
 
 def insert_ignore_jdbc(df: DataFrame, url: str, table: str, keys: list[str], properties: dict[str, str]) -> None:
-    """Appends the rows whose key the table does not have yet."""
-    known = df.sparkSession.read.jdbc(url, table, properties=properties).select(*keys)
-    write_jdbc(df.dropDuplicates(keys).join(known, keys, "left_anti"), url, table, properties)
+    """Appends the rows whose key the table does not have yet. Of the table's keys only those between the least and the greatest
+    new first key are read."""
+    new = written(df.dropDuplicates(keys), "jdbc-new")
+    low, high = new.agg(F.min(keys[0]), F.max(keys[0])).first()
+    if low is None and high is None:
+        write_jdbc(new, url, table, properties)
+        return
+    known = df.sparkSession.read.jdbc(url, table, properties=properties).select(*keys).filter(F.col(keys[0]).between(low, high))  # pushed down
+    write_jdbc(new.join(known, keys, "left_anti"), url, table, properties)
 
 
 def save_crc_index(indexed: DataFrame, folder: str, entity: str) -> None:

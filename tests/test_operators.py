@@ -62,10 +62,10 @@ def test_unique_flags_all_or_all_but_the_first(spark):
 
 
 def test_references(spark):
-    o = spark.createDataFrame([(10248, "ALFKI"), (10249, "GHOST"), (10250, None)], "OrderID long, CustomerID string")
-    c = spark.createDataFrame([("ALFKI",), (None,)], "CustomerID string")
+    o = spark.createDataFrame([(7001, "KORVA"), (7002, "GHOST"), (7003, None)], "OrderID long, CustomerID string")
+    c = spark.createDataFrame([("KORVA",), (None,)], "CustomerID string")
     v = found(o, Rule("referential", "CustomerID", "ERROR", references="customers.CustomerID"), key="OrderID", references={"customers": c})
-    assert [(x.record_id, x.actual) for x in v] == [("10249", "GHOST")]
+    assert [(x.record_id, x.actual) for x in v] == [("7002", "GHOST")]
     assert found(o, Rule("referential", "CustomerID", references="nobody.id"), references={}) == []
 
 
@@ -146,22 +146,22 @@ def test_scored_pairs_in_chunks_and_blocks(spark, rows, chunk):
 
 def test_clusters(spark, rows):
     df = spark.createDataFrame(
-        [("ALFKI", "Alfreds Futterkiste", "Berlin"), ("ALFKI_DUP", " alfreds futterkiste", "Berlin"), ("ANATR", "Ana Trujillo", "México"), ("X1", "Completely Other", "Rome"), ("X2", "Completely Othr", "Rome"), ("E1", "", ""), ("E2", None, "Oslo")],
+        [("KORVA", "Korva Feinkost", "Berlin"), ("KORVA2", " korva feinkost", "Berlin"), ("MIRLO", "Taberna Mirlo", "México"), ("X1", "Completely Other", "Rome"), ("X2", "Completely Othr", "Rome"), ("Z1", "", ""), ("Z2", None, "Oslo")],
         "customerID string, companyName string, city string",
     )
     got = dict((n, c) for c, n in rows(dedup.find_clusters(df, "customers", fields={"companyName": 0.8, "city": 0.2})))
-    assert got["ALFKI"] == got["ALFKI_DUP"] and got["X1"] == got["X2"] and got["ANATR"] != got["ALFKI"] and got["E1"] != got["E2"]
-    assert got["ALFKI"] == "cluster_000001" and len(got) == 7
+    assert got["KORVA"] == got["KORVA2"] and got["X1"] == got["X2"] and got["MIRLO"] != got["KORVA"] and got["Z1"] != got["Z2"]
+    assert got["KORVA"] == "cluster_000001" and len(got) == 7
 
 
 def test_golden_records(spark, rows):
     df = spark.createDataFrame(
-        [("c1", 1, "Alfreds", 9.99, "2024-01-01", "crm"), ("c1", 2, "Alfreds Futterkiste", 12.5, "2024-06-01", "northwind"), ("c2", 3, None, None, "2024-01-01", "crm")],
+        [("c1", 1, "Korva", 9.99, "2024-01-01", "crm"), ("c1", 2, "Korva Feinkost", 12.5, "2024-06-01", "northwind"), ("c2", 3, None, None, "2024-01-01", "crm")],
         "cluster_id string, _ord int, name string, price double, _extract_ts string, _source string",
     )
-    assert rows(survivorship.golden_records(df), "cluster_id", "name", "price") == [("c1", "Alfreds Futterkiste", 9.99), ("c2", None, None)]
+    assert rows(survivorship.golden_records(df), "cluster_id", "name", "price") == [("c1", "Korva Feinkost", 9.99), ("c2", None, None)]
     recent = {"price": {"rule": "most_recent"}, "name": {"rule": "prefer_source", "priority": ["crm", "northwind"]}}
-    assert rows(survivorship.golden_records(df, recent), "cluster_id", "name", "price") == [("c1", "Alfreds", 12.5), ("c2", None, None)]
+    assert rows(survivorship.golden_records(df, recent), "cluster_id", "name", "price") == [("c1", "Korva", 12.5), ("c2", None, None)]
 
 
 def test_components_of_a_long_chain(spark, rows):
@@ -209,11 +209,11 @@ def test_history_invariants(spark, loads):
 
 
 def test_point_in_time(spark):
-    dim = dim_rows(spark, (1, "ALFKI", "", "", "2020-01-01", "2022-12-31", False), (2, "ALFKI", "", "", "2023-01-01", None, True))
-    facts = spark.createDataFrame([("ALFKI", "2021-06-01"), ("ALFKI", "2022-12-31"), ("ALFKI", "2024-01-01"), ("GHOST", "2021-01-01"), (None, "2021-01-01"), ("ALFKI", "2019-01-01")], "nk string, d string")
+    dim = dim_rows(spark, (1, "KORVA", "", "", "2020-01-01", "2022-12-31", False), (2, "KORVA", "", "", "2023-01-01", None, True))
+    facts = spark.createDataFrame([("KORVA", "2021-06-01"), ("KORVA", "2022-12-31"), ("KORVA", "2024-01-01"), ("GHOST", "2021-01-01"), (None, "2021-01-01"), ("KORVA", "2019-01-01")], "nk string, d string")
     x = lookup.Lookup("c", "nk", "customer_nk", "customer_sk", "sk", "d")
     assert [r.sk for r in lookup.resolve_point_in_time(facts, dim, x).orderBy("d", "nk").collect()] == [-1, -1, -1, 1, 1, 2]
-    twice = dim.unionByName(dim_rows(spark, (7, "ALFKI", "", "", "2021-01-01", "2025-01-01", False)))
+    twice = dim.unionByName(dim_rows(spark, (7, "KORVA", "", "", "2021-01-01", "2025-01-01", False)))
     out = lookup.resolve_point_in_time(facts, twice, x)
     assert out.count() == 6 and out.filter("d = '2021-06-01'").first().sk == 1
     with pytest.raises(lookup.OverlapError):
@@ -242,11 +242,11 @@ def test_late_dimension_splits_and_repoints(spark, rows):
 # ---- facts
 
 def test_fact(spark):
-    o = spark.createDataFrame([(10248, "VINET", 5, "1996-07-04", "1996-08-01", None, 3, 32.38, "France"), (10249, "TOMSP", 6, "1996-07-05", "1996-08-16", "1996-07-10", 1, 11.61, "Germany")], "orderID long, customerID string, employeeID long, orderDate string, requiredDate string, shippedDate string, shipVia long, freight double, shipCountry string")
-    d = spark.createDataFrame([(10248, 11, 14.0, 12, 0.0), (10248, 42, 9.8, 10, 1.5), (10249, 14, 18.6, 9, 0.0), (10249, 51, 42.4, 0, 0.0)], "orderID long, productID long, unitPrice double, quantity long, discount double")
+    o = spark.createDataFrame([(7001, "VINET", 5, "1996-07-04", "1996-08-01", None, 3, 32.38, "France"), (7002, "TOMSP", 6, "1996-07-05", "1996-08-16", "1996-07-10", 1, 11.61, "Germany")], "orderID long, customerID string, employeeID long, orderDate string, requiredDate string, shippedDate string, shipVia long, freight double, shipCountry string")
+    d = spark.createDataFrame([(7001, 11, 14.0, 12, 0.0), (7001, 42, 9.8, 10, 1.5), (7002, 14, 18.6, 9, 0.0), (7002, 51, 42.4, 0, 0.0)], "orderID long, productID long, unitPrice double, quantity long, discount double")
     f = fact.build_fact_sales(o, d, {"dim_geography": geography(spark)}).orderBy("order_id", "line_number").collect()
     assert len(f) == 3 and [x.line_number for x in f] == [1, 2, 1]
-    assert abs(sum(float(x.freight_allocated) for x in f if x.order_id == 10248) - 32.38) < 0.02
+    assert abs(sum(float(x.freight_allocated) for x in f if x.order_id == 7001) - 32.38) < 0.02
     assert f[0].order_date_sk == 19960704 and f[0].shipped_date_sk == 19000101 and max(float(x.discount) for x in f) <= 1
     assert f[0].customer_sk == -1 and f[2].ship_geography_sk == 8
     assert all(x.net_amount == x.extended_price - x.discount_amount for x in f)
@@ -291,6 +291,17 @@ def test_published_versions(spark, tmp_path):
         store.latest("none")
 
 
+def test_late_changes_within_one_version(spark, rows):
+    dim = dim_rows(spark, (1, "A", "x", "", "2020-01-01", None, True), (2, "B", "x", "", "2020-03-01", "2021-01-01", False))
+    changes = spark.createDataFrame([("A", "2020-06-01", "late"), ("A", "2020-03-01", "early"), ("A", "2020-03-01", "eager"), ("B", "2020-03-01", "b")], "customer_nk string, effective_date string, company_name string")
+    out, moved = late.late_dimension(dim, changes, "customer_nk", "customer_sk")
+    got = sorted((r.customer_nk, str(r.effective_date), str(r.expiration_date), r.company_name, r.is_current) for r in out.collect())
+    assert got == [("A", "2020-01-01", "2020-02-29", "x", False), ("A", "2020-03-01", "2020-05-31", "early", False), ("A", "2020-06-01", "None", "late", True), ("B", "2020-03-01", "2021-01-01", "b", False)]
+    assert out.count() == out.select("customer_sk").distinct().count()
+    assert scd.version_faults(out.filter("customer_nk = 'A'"), "customer_nk", "customer_sk").count() == 0
+    assert sorted((r.old_sk, str(r.first_day), str(r.last_day)) for r in moved.collect()) == [(1, "2020-03-01", "2020-05-31"), (1, "2020-06-01", "None"), (2, "2020-03-01", "2021-01-01")]
+
+
 def test_jdbc(spark):
     url, props = "jdbc:derby:memory:t;create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     write_jdbc(spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string"), url, "dim", props, "overwrite")
