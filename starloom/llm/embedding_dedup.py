@@ -92,11 +92,6 @@ def links_among(v: np.ndarray, copies: np.ndarray, side: np.ndarray | None, cosi
     most = (2 - 2 * cosine) * (1 + 1e-9) + 1e-12
     bounds = block_bounds(dims, blocks)
     budget = np.array([most * (b - a) / dims for a, b in bounds])
-    # distance^2 of x and y in a block is the product of (x, |x|^2, 1) and (-2y, 1, |y|^2)
-    one = np.ones((n, 1))
-    square = [(r[:, a:b] ** 2).sum(axis=1)[:, None] for a, b in bounds]
-    left = [np.hstack((r[:, a:b], s, one)).astype(np.float32) for (a, b), s in zip(bounds, square)]
-    right = [np.hstack((-2 * r[:, a:b], one, s)).astype(np.float32) for (a, b), s in zip(bounds, square)]
     two = side is not None
     first = tiles_of(r, np.flatnonzero(side == 0) if two else np.arange(n))
     second = tiles_of(r, np.flatnonzero(side == 1)) if two else first
@@ -106,23 +101,42 @@ def links_among(v: np.ndarray, copies: np.ndarray, side: np.ndarray | None, cosi
     if not first or not second:
         return links, groups.up
     (low, high), (low2, high2) = box(first), box(second)
+    one = np.ones((TILE, 1))
+
+    def factors(t: np.ndarray, right: bool) -> list[np.ndarray]:
+        """The squared distance of x and y in a block is the product of (x, |x|^2, 1) and (-2y, 1, |y|^2)."""
+        out = []
+        for a, b in bounds:
+            part = r[t, a:b]
+            square = (part**2).sum(axis=1)[:, None]
+            both = np.hstack((-2 * part, one[: len(t)], square) if right else (part, square, one[: len(t)])).astype(np.float32)
+            out.append(np.ascontiguousarray(both.T) if right else both)
+        return out
+
+    right = [factors(t, True) for t in second]
+    space, within, union = np.empty(TILE * TILE, np.float32), np.empty(TILE * TILE, bool), np.empty(TILE * TILE, bool)
     for i, x in enumerate(first):
+        left = factors(x, False)
         gap = np.maximum(0, np.maximum(low2 - high[i], low[i] - high2)) ** 2
         apart = np.add.reduceat(gap, cut, axis=1)  # at least so far apart, by tile and block
         for j in range(0 if two else i, len(second)):
             y = second[j]
             if apart[j].sum() > most:
                 continue
-            hit = np.zeros((len(x), len(y)), bool)
+            shape, size = (len(x), len(y)), len(x) * len(y)
+            distance, near, hit = (buffer[:size].reshape(shape) for buffer in (space, within, union))
+            hit[:] = False
             for k in np.flatnonzero(apart[j] <= budget).tolist():
-                hit |= left[k][x] @ right[k][y].T <= budget[k] + LOOSE
+                np.matmul(left[k], right[j][k], out=distance)
+                np.less_equal(distance, budget[k] + LOOSE, out=near)
+                np.logical_or(hit, near, out=hit)
             if not two and i == j:
                 hit = np.triu(hit, 1)
             found = np.count_nonzero(hit)
             if not found:
                 continue
             if found <= FEW:
-                p, q = np.nonzero(hit)
+                p, q = np.divmod(np.flatnonzero(hit), len(y))
                 a, b = x[p], y[q]
                 ok = np.einsum("ij,ij->i", u[a], u[b]) >= cosine
                 a, b = a[ok], b[ok]
