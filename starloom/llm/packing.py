@@ -2,12 +2,12 @@
 
 Documents are tokenised once. A document longer than a sequence is cut from its end, so that all its pieces
 but the first are full; full pieces are sequences of their own. The other pieces, a few integers each, are
-dealt by hash over partitions and packed there in blocks of at most `block` pieces: best-fit decreasing, then
-local search among the bins that still have room. A move puts a piece of one bin into a fuller one, a one-for-one
+dealt by hash over partitions and packed there in blocks of at most `block` pieces: best-fit decreasing, and
+local search among the bins that still have room, by turns for long, middling and short pieces. A move puts a piece of one bin into a fuller one, a one-for-one
 exchange swaps a longer piece in for a shorter one, a two-for-one exchange swaps one piece in for two that
 are shorter together (or the reverse, or two for two). Every step raises the sum of squared fills. Bins are drained
 from the emptiest up, each against all open bins and all their pieces, and those that become empty go, until no step is
-left, or until as few bins are left as a lower bound allows. After `steps` exchanges a block's search ends early; that
+left, or until as few bins are left as a lower bound allows. After `steps` exchanges a search ends early; that
 bounds its time, and its bins are as full as it got them. What blocks cost is less than one sequence each.
 
 Ids are those of the tokenizers library, also where a text has the string of an added token such as <|endoftext|>.
@@ -34,6 +34,7 @@ from starloom.llm.common import small_batches, table
 LENGTH = 1024
 BLOCK = 100_000
 STEPS = 20_000
+STAGES = (4, 8)
 END = 2
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -109,12 +110,18 @@ def pieces(docs: DataFrame, id_col="doc_id", text_col="text", length: int = LENG
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {id_type}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def best_fit(sizes: np.ndarray, length: int) -> tuple[list[list[int]], list[int]]:
-    """Best-fit decreasing. Bins are kept by room left, so a piece costs a look-up of at most `length` rooms."""
-    bins: list[list[int]] = []
+def best_fit(sizes: np.ndarray, length: int, pieces: np.ndarray | None = None, bins: list[list[int]] | None = None) -> tuple[list[list[int]], list[int]]:
+    """Best-fit decreasing of all or some pieces, into the bins given and new ones. Bins are kept by room left, so a piece costs a
+    look-up of at most `length` rooms."""
+    bins = [] if bins is None else bins
+    fill = [int(sizes[b].sum()) for b in bins]
+    pieces = np.arange(len(sizes)) if pieces is None else pieces
     room: list[list[int]] = [[] for _ in range(length + 1)]
     open_rooms = 0  # bit r: some bin has room r
-    for i in np.argsort(-sizes, kind="stable").tolist():
+    for b, f in enumerate(fill):
+        room[length - f].append(b)
+        open_rooms |= 1 << (length - f)
+    for i in pieces[np.argsort(-sizes[pieces], kind="stable")].tolist():
         n = int(sizes[i])
         if fits := open_rooms >> n:
             r = n + (fits & -fits).bit_length() - 1
@@ -124,10 +131,27 @@ def best_fit(sizes: np.ndarray, length: int) -> tuple[list[list[int]], list[int]
         else:
             r, b = length, len(bins)
             bins.append([])
+            fill.append(0)
         bins[b].append(i)
+        fill[b] += n
         room[r - n].append(b)
         open_rooms |= 1 << (r - n)
-    return bins, [int(sum(sizes[i] for i in b)) for b in bins]
+    return bins, fill
+
+
+def packed(sizes: np.ndarray, length: int, stages: tuple[int, ...] = STAGES) -> list[list[int]]:
+    """Best fit and local search by turns: pieces of at least length / 4 first, then shorter ones, so that the search closes bins while
+    short pieces, which would only hide their gaps, are still to come. Bins of a single piece wait for those and are searched at the end."""
+    bins: list[list[int]] = []
+    above = length + 1
+    for least in (*(length // k for k in stages), 0):
+        bins, fill = best_fit(sizes, length, np.flatnonzero((sizes < above) & (sizes >= least)), bins)
+        above = least
+        apart = [least > 0 and len(b) < 2 for b in bins]
+        some = [k for k, wait in enumerate(apart) if not wait]
+        bins = [b for b, wait in zip(bins, apart) if wait] + local_search([bins[k] for k in some], [fill[k] for k in some], sizes, length)
+    plain, fill = best_fit(sizes, length)
+    return bins if len(bins) <= len(plain) else local_search(plain, fill, sizes, length)
 
 
 def least_bins(sizes: np.ndarray, length: int) -> int:
@@ -234,7 +258,7 @@ class Exchange:
 
 def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, length: int, steps: int = STEPS) -> list[list[int]]:
     """Moves and exchanges among bins with room, until no step raises the sum of squared fills, or no bin can be saved."""
-    least, count = least_bins(sizes, length), len(bins)
+    least, count = least_bins(sizes[[i for b in bins for i in b]], length) if bins else 0, len(bins)
     contents = {k: [int(sizes[i]) for i in b] for k, b in enumerate(bins) if fill[k] < length}
     if count <= least or len(contents) < 2:
         return bins
@@ -264,8 +288,7 @@ def local_search(bins: list[list[int]], fill: list[int], sizes: np.ndarray, leng
 
 def pack_block(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each piece."""
-    bins, fill = best_fit(lengths, length)
-    bins = local_search(bins, fill, lengths, length)
+    bins = packed(lengths, length)
     of, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     for k, members in enumerate(bins):
         at = 0

@@ -66,7 +66,7 @@ def test_few_pieces_against_every_packing(sizes):
     bins, fill = packing.best_fit(n, 20)
     after = packing.local_search([list(b) for b in bins], list(fill), n, 20)
     best = fewest(sizes, 20)
-    assert packing.least_bins(n, 20) <= best <= len(after) <= len(bins)
+    assert packing.least_bins(n, 20) <= best <= len(after) <= len(bins) and best <= len(packing.packed(n, 20)) <= best + 1
     assert sorted(i for b in after for i in b) == list(range(len(sizes))) and all(n[b].sum() <= 20 for b in after)
     assert len(after) <= best + 1
 
@@ -87,6 +87,18 @@ def test_search_empties_bins():
     assert saved > 10
 
 
+def test_turns_need_fewer_bins_than_best_fit():
+    rng, saved = np.random.default_rng(1), 0
+    for low, high, n in [(1, 1024, 4000), (1, 1024, 500), (100, 700, 3000), (250, 360, 3000), (1, 60, 2000), (513, 1024, 50), (1, 2, 3000)]:
+        sizes = rng.integers(low, high, n)
+        plain, after = len(packing.best_fit(sizes, 1024)[0]), packing.packed(sizes, 1024)
+        assert sorted(i for b in after for i in b) == list(range(n)) and max(sizes[b].sum() for b in after) <= 1024
+        assert packing.least_bins(sizes, 1024) <= len(after) <= plain
+        saved += plain - len(after)
+    assert saved > 10
+    assert packing.packed(np.zeros(0, np.int64), 1024) == []
+
+
 def test_no_step_is_left():
     """What the search leaves has no move and no one-for-one or two-for-one exchange that raises squared fill."""
     rng = np.random.default_rng(3)
