@@ -7,8 +7,8 @@ the whole content is the last part of the key and decides.
 
 A content that many rows share would end in one range. Contents that make up at least one part in
 `hot_parts` of all rows (so at most `hot_parts` contents, whatever the size of the input) are found by a
-pre-aggregated count of digests, dealt over salted ranges, and their runs are merged afterwards by a second,
-small aggregate.
+pre-aggregated count of digests, dealt over salted ranges by a hash of the id, and the count, which also has the id that
+stays, tells their size and row afterwards. A table is read three times: for the digests, the splitters and the sort.
 
 Defined cases: null text counts as empty; empty texts are equal to each other; a null id sorts below all
 others; rows that repeat an id and a text are one group, of which one row stays (the others carry
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import table
+from starloom.llm.common import table, written
 
 HOT_PARTS = 2000
 LEAD = 24
@@ -51,28 +51,27 @@ def mark_exact_duplicates(
         F.col(text_col).isNull().alias("_none"),
     ).withColumn("_digest", F.sha2(F.encode("_content", "UTF-8"), 256))
 
-    digests = docs.select(F.sha2(F.encode(content, "UTF-8"), 256).alias("_digest")).groupBy("_digest").agg(F.count("*").alias("_n"))
+    best = F.min if keep == "smallest" else F.max
+    digests = docs.select(F.sha2(F.encode(content, "UTF-8"), 256).alias("_digest"), F.col(id_col).alias("_id")).groupBy("_digest").agg(F.count("*").alias("_n"), best("_id").alias("_all_best"))
     total = docs.select(F.count("*")).scalar()
     # n * hot_parts >= total holds for at most hot_parts digests; n > 64 only spares tiny tables the salting.
     hot = (
         digests.filter("_n > 64").withColumn("_total", total).filter(F.col("_n") * hot_parts >= F.col("_total"))
-        .select("_digest", F.ceil(F.col("_n") * hot_parts / F.col("_total")).cast("int").alias("_salts"))
+        .select("_digest", F.ceil(F.col("_n") * hot_parts / F.col("_total")).cast("int").alias("_salts"), "_all_best", F.col("_n").alias("_all_size"))
     )
-    rows = rows.join(F.broadcast(hot), "_digest", "left").withColumn(
+    hot = written(hot, "hot-contents")  # at most hot_parts rows; counted once
+    rows = rows.join(F.broadcast(hot.select("_digest", "_salts")), "_digest", "left").withColumn(
         "_salt", F.when(F.col("_salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int"))
     )
     ranges = rows.withColumn("_lead", F.substring("_content", 1, LEAD)).repartitionByRange("_lead", "_digest", "_salt")
     run = Window.partitionBy("_lead", "_digest", "_salt", "_content")
     first = run.orderBy(F.col("_id").asc_nulls_last() if keep == "smallest" else F.col("_id").desc_nulls_last())
-    best = F.min if keep == "smallest" else F.max
     runs = ranges.select(
         "_id", "_digest", "_salts", "_carry", F.row_number().over(first).alias("_place"), best("_id").over(run).alias("_best"), F.count("*").over(run).alias("_size"), F.col("_salt").alias("_part"),
         *([F.when(~F.col("_none"), F.col("_content")).alias("_text")] if with_text else []),
     )
-    # Cold contents are complete in their run. Of hot ones, at most hot_parts digests have several runs.
-    merged = (
-        rows.filter("_salts is not null").groupBy("_digest").agg(best("_id").alias("_all_best"), F.count("*").alias("_all_size"), _part_of_best(keep).alias("_best_part"))
-    )
+    # Cold contents are complete in their run. Of hot ones, at most hot_parts digests, the row that stays is in the run of its id's salt.
+    merged = hot.select("_digest", "_all_best", "_all_size", F.pmod(F.xxhash64("_all_best"), F.col("_salts")).cast("int").alias("_best_part"))
     out = runs.join(F.broadcast(merged), "_digest", "left")
     keep_id = F.when(F.col("_salts").isNull(), F.col("_best")).otherwise(F.col("_all_best"))
     size = F.when(F.col("_salts").isNull(), F.col("_size")).otherwise(F.col("_all_size"))
@@ -82,12 +81,6 @@ def mark_exact_duplicates(
     )
 
 
-def _part_of_best(keep: str) -> Column:
-    """The salt of the row that stays: equal ids have equal salts, so one salt holds them all."""
-    order = F.struct(F.col("_id").isNotNull(), F.col("_id"), F.col("_salt"))
-    return F.max_by("_salt", order) if keep == "largest" else F.min_by("_salt", F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_salt")))
-
-
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows that stay, with the columns of docs."""
     others = tuple(c for c in docs.columns if c != text_col)
