@@ -17,7 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bounds what a Python worker holds at once: whole texts travel at most `rows` at a time."""
+    """Bounds what a Python worker holds at once: whole texts travel at most `rows` at a time. Spark bounds a batch by bytes as well
+    (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so long texts travel in smaller batches. Plans read the setting
+    when they run, after the operator has returned, so it is only ever lowered here and stays for the session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starloom.llm.common import WORD, table, text_or_empty
+from starloom.llm.common import WORD, table, text_or_empty, written
 
 BUCKETS = 4096
 #: Weight schedules by rank of the source, repeating: (progress, weight) knots. Their integrals are 5, 2 and 1:
@@ -52,28 +52,35 @@ def progress_at(knots, share: Column) -> Column:
     return out
 
 
+def running(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """Adds c_before for each c of sums: its sum over the rows that come earlier in `order`, without bringing all rows to one task.
+
+    Rows are range-partitioned; totals of the partitions (one small row each) give each its start.
+    """
+    dealt = written(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "running")
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over one row a partition
+    starts = dealt.groupBy("_p").agg(*(F.sum(c).alias(c) for c in sums)).select(F.col("_p").alias("_q"), *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}_start") for c in sums))
+    inside = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(starts), F.col("_p") == F.col("_q"))
+    return out.select(*df.columns, *((F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_{c}_start")).alias(f"{c}_before") for c in sums))
+
+
 def source_targets(sizes: DataFrame, weights: list[float], share: float = 1.5, epochs: int = 2) -> DataFrame:
     """From (source, size): source, source_size, rank, target. One row a source.
 
     min(epochs * size, level * weight) for the level at which the targets add up to share * all words: sort by
     the level at which each source is full; the first source not full at the level left for it ends the search (later levels are lower).
     """
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    ranked = per.withColumn("rank", F.row_number().over(by_name) - 1)
+    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
+    ranked = running(per, [F.col("source").asc_nulls_last()], ["one"]).withColumnRenamed("one_before", "rank").drop("one")
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
-    by_fill = Window.orderBy(F.col("_cap") / F.col("_w"), "rank")
-    before = by_fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_fill.rowsBetween(0, Window.unboundedFollowing)
-    whole = Window.partitionBy(F.lit(1))
-    levels = (
-        ranked.withColumns({"_w": weight, "_cap": F.col("source_size") * epochs})
-        .withColumns({"_goal": F.sum("source_size").over(whole) * share, "_full": F.coalesce(F.sum("_cap").over(before), F.lit(0)), "_left": F.sum("_w").over(after)})
-        .withColumn("_level", (F.col("_goal") - F.col("_full")) / F.col("_left"))
-        .withColumn("_final", F.max(F.when(F.col("_level") * F.col("_w") <= F.col("_cap"), F.col("_level"))).over(whole))
-    )
-    target = F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_final") * F.col("_w"), F.col("_cap").cast("double")))
-    return levels.select("source", "source_size", "rank", target.alias("target"))
+    ranked = ranked.withColumns({"w": weight, "cap": F.col("source_size") * epochs})
+    filled = running(ranked, [F.col("cap") / F.col("w"), F.col("rank")], ["cap", "w"])
+    words, whole = (filled.select(F.sum(c)).scalar() for c in ("source_size", "w"))
+    filled = filled.withColumn("level", (words * share - F.col("cap_before")) / (whole - F.col("w_before")))
+    final = filled.select(F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level")))).scalar()
+    target = F.least(F.col("cap").cast("double"), F.coalesce(final * F.col("w"), F.col("cap").cast("double")))
+    return filled.select("source", "source_size", "rank", target.alias("target"))
 
 
 def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", schedules=SCHEDULES, share: float = 1.5, epochs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -88,7 +95,7 @@ def mix(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source",
     )
     bucket = (F.conv(F.substring("_order", 1, 3), 16, 10).cast("int") * BUCKETS / 4096).cast("int")
     rows = rows.withColumn("_bucket", bucket)
-    sums = rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("size"))
+    sums = written(rows.groupBy("_key", "_bucket").agg(F.sum("size").alias("size")), "bucket-sizes")  # so texts are counted once for all that follows
     source = F.when(F.col("_key") != "-", F.substring("_key", 2, 1 << 30))
     targets = source_targets(sums.select(source.alias("source"), "size"), [integral(s) for s in schedules], share, epochs)
     targets = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")).alias("_key"), "source_size", "rank", "target")

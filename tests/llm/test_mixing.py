@@ -63,3 +63,23 @@ def test_repeated_and_null_ids_ties_and_clashing_names(spark):
     assert out.columns == df.columns
     assert sorted(map(repr, out.collect())) == sorted(map(repr, mixing.mixed_documents(df.repartition(3)).collect()))
     assert mixing.mixed_documents(df.limit(0)).count() == 0
+
+
+def test_targets_of_many_sources_over_many_partitions(spark):
+    rng = random.Random(6)
+    sizes = {f"h{k}": rng.choice([0, 1, 5, 200, 9000]) for k in range(700)}
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.source: (r.rank, r.target) for r in mixing.source_targets(df, [5.0, 2.0, 1.0]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    names = sorted(sizes)
+    assert [got[n][0] for n in names] == list(range(700))
+    low, high = 0.0, 1e9  # the level by halving
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(2 * sizes[n], mid * (5, 2, 1)[k % 3]) for k, n in enumerate(names)) < 1.5 * sum(sizes.values()) else (low, mid)
+    for k, n in enumerate(names):
+        want = min(2 * sizes[n], low * (5, 2, 1)[k % 3])
+        assert abs(got[n][1] - want) <= 1e-6 * max(1, want)
