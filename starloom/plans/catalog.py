@@ -812,8 +812,11 @@ def stream_limit(spark, sf):
 def stream_paced(spark, sf):
     """A quarter of the orders sent in four batches, read back as a table."""
     folder, o = new_path(spark, "paced"), orders(spark, sf).filter("orderID % 4 = 0")
-    sent = produce_paced(encode_orders(o), lambda batch: produce_files(batch, folder), -(-o.count() // 4), 0.0)
-    return flatten(decode(spark.read.text(folder)), ["OrderID"]).select("OrderID").limit(sent)
+    n = o.count()
+    sent = produce_paced(encode_orders(o), lambda batch: produce_files(batch, folder), -(-n // 4), 0.0)
+    if sent != n:
+        raise ValueError(f"{sent} of {n} events were sent")
+    return flatten(decode(spark.read.text(folder)), ["OrderID"]).select("OrderID")
 
 
 @query("SELECT o_orderkey::VARCHAR AS orderid, o_custkey::VARCHAR AS customerid FROM orders")

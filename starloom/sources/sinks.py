@@ -57,6 +57,12 @@ class DimensionStore:
         return self.version(dim, read_text(self.spark, pointer))
 
 
+def _beside(path: str, what: str) -> str:
+    """A hidden sibling of a table."""
+    folder, slash, name = path.rstrip("/").rpartition("/")
+    return f"{folder}{slash}.{what}-{name}"
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """A table at path. Overwriting writes the new one beside it and then swaps folders: df may read the old table, and a crash
     on the way leaves a whole one, which restore_table() puts back if need be."""
@@ -64,8 +70,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
         df.write.mode(mode).partitionBy(*(partition_by or [])).parquet(path)
         return
     spark = df.sparkSession
-    folder, _, name = path.rstrip("/").rpartition("/")
-    part, old = f"{folder}/.{name}-{uuid.uuid4().hex}", f"{folder}/.old-{name}"
+    part, old = _beside(path, uuid.uuid4().hex), _beside(path, "old")
     df.write.partitionBy(*(partition_by or [])).parquet(part)
     restore_table(spark, path)
     if exists(spark, path):
@@ -76,8 +81,7 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
 
 def restore_table(spark: SparkSession, path: str) -> None:
     """After a crash between the two renames of write_table the old table has another name: gives it back its own."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    old = f"{folder}/.old-{name}"
+    old = _beside(path, "old")
     if not exists(spark, old):
         return
     if exists(spark, path):
