@@ -60,11 +60,12 @@ def drop_boilerplate_lines(pages: DataFrame, id_col="doc_id", text_col="text", h
     host = F.coalesce(F.concat(F.lit("="), given.cast("string")), F.lit("-"))  # never null
     rows = pages.select(F.col(id_col).alias("_id"), host.alias("_host"), lines.alias("_lines"))
     totals = written(rows.groupBy("_host").agg(F.count("*").alias("_pages")), "hosts")
-    tables = written(boilerplate(rows, totals, ratio, least), "boilerplate")
+    tables = boilerplate(rows, totals, ratio, least)
     every = totals.select(F.sum("_pages")).scalar()
     # At most SALTS hosts have a page in SALTS.
     hot = totals.withColumn("_all", every).filter(F.col("_pages") * SALTS >= F.col("_all")).select("_host", F.ceil(F.col("_pages") * SALTS / F.col("_all")).cast("int").alias("_salts"))
     salted = tables.join(F.broadcast(hot), "_host", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    salted = written(salted, "boilerplate")  # so that its size is known
     salt = F.pmod(F.xxhash64("_id", "_lines"), F.coalesce("_salts", F.lit(1))).cast("int")
     joined = rows.join(F.broadcast(hot), "_host", "left").withColumn("_salt", salt).join(salted, ["_host", "_salt"], "left")
 
